@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.ml.prep import fit_medians, fit_scales, impute, standard_scale
+from tenura.ml.prep import fit_medians, fit_scales, impute, spread, standard_scale
 from tenura.schema import CLUSTER_FEATURES, CUSTOMER_ID, RANDOM_SEED
 
 
@@ -41,10 +41,12 @@ def best_kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = RANDOM
 
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 9), starts: int = 10,
-                 features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
+                 features: Sequence[str] = CLUSTER_FEATURES, key: str = CUSTOMER_ID) -> DataFrame:
     """Inertia and silhouette per number of clusters. The silhouette is the
     squared-Euclidean one, which needs no distances between pairs of rows."""
-    vectors = cluster_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = spread(cluster_vectors(df, features, [key]), key).select("features").persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     try:
         silhouette = ClusteringEvaluator()
         rows = []
@@ -58,10 +60,12 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 9), starts: int = 1
 
 
 def kmeans_assign(df: DataFrame, k: int = 3, starts: int = 10,
-                  features: Sequence[str] = CLUSTER_FEATURES) -> DataFrame:
+                  features: Sequence[str] = CLUSTER_FEATURES, key: str = CUSTOMER_ID) -> DataFrame:
     """The table with Customer_Cluster, numbered by rising first feature."""
     vectors = cluster_vectors(df, features, df.columns)
-    training = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    training = spread(vectors.select(key, "features"), key).select("features").persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     try:
         model = best_kmeans(training, k, starts)
     finally:

@@ -70,6 +70,16 @@ def standard_scale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) ->
     })
 
 
+def spread(df: DataFrame, key: str, rows_per_task: int = 10_000) -> DataFrame:
+    """Use the cores for passes that repeat over the data: a table in too few
+    files for its rows is redistributed by key, any other is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    tasks = min(cores, 1 + df.count() // rows_per_task)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)
+
+
 def one_hot(columns: Sequence[str]) -> list:
     """Pipeline stages encoding each text column; a value not seen in fitting
     (or null) gives an all-zero vector."""

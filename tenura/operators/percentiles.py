@@ -8,12 +8,11 @@ shuffle, and the order statistic is read off distributed running counts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,18 +44,15 @@ def _brackets(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
     return rows if len(rows) <= MAX_GROUPS else None
 
 
-def _collapse(value: Column, low: Sequence[Column], high: Sequence[Column]) -> list[Column]:
+def _collapse(value: str, ends: Sequence[str]) -> tuple[str, str]:
     """The value itself inside a bracket; in a gap, the end of the bracket
     below it with mark 1. The mapping keeps the order of values."""
-    kept = gap = F
+    low, high = ends[:len(ends) // 2], ends[len(ends) // 2:]
+    kept = gap = f"CASE WHEN {value} IS NULL THEN NULL"
     for lo, hi in reversed(list(zip(low, high, strict=True))):
-        kept = kept.when(value > hi, hi).when(value >= lo, value)
-        gap = gap.when(value > hi, F.lit(1)).when(value >= lo, F.lit(0))
-    known = value.isNotNull()
-    return [
-        F.when(known, kept.otherwise(F.lit(-math.inf))).alias("value"),
-        F.when(known, gap.otherwise(F.lit(1))).alias("gap"),
-    ]
+        kept += f" WHEN {value} > {hi} THEN {hi} WHEN {value} >= {lo} THEN {value}"
+        gap += f" WHEN {value} > {hi} THEN 1 WHEN {value} >= {lo} THEN 0"
+    return f"{kept} ELSE double('-Infinity') END", f"{gap} ELSE 1 END"
 
 
 def _collapsed_rows(df: DataFrame, metrics: Sequence[str], k: int, groups: Sequence[str],
@@ -76,16 +72,15 @@ def _collapsed_rows(df: DataFrame, metrics: Sequence[str], k: int, groups: Seque
             df[g].eqNullSafe(small[f"_g{i}"]) for i, g in enumerate(groups)
         ])
         df = df.join(small, same)
-        ends = {m: [F.col(f"_{m}_{i}") for i in range(2 * k)] for m in metrics}
+        ends = {m: [f"`_{m}_{i}`" for i in range(2 * k)] for m in metrics}
     else:
         row = brackets[0]
-        ends = {m: [F.lit(v) for v in row[m] or [0.0] * (2 * k)] for m in metrics}
-    cells = [
-        F.struct(F.lit(m).alias("metric"),
-                 *_collapse(F.col(m).cast("double"), ends[m][:k], ends[m][k:]))
-        for m in metrics
-    ]
-    return df.select(*groups, F.inline(F.array(*cells))).dropna(subset="value")
+        ends = {m: [f"double('{v}')" for v in row[m] or [0.0] * (2 * k)] for m in metrics}
+    cells = []
+    for m in metrics:
+        kept, gap = _collapse(f"double(`{m}`)", ends[m])
+        cells.append(f"struct('{m}' AS metric, {kept} AS value, {gap} AS gap)")
+    return df.select(*groups, F.expr(f"inline(array({', '.join(cells)}))")).dropna(subset="value")
 
 
 def _order_statistics(long: DataFrame, probs: Sequence[float], names: Sequence[str],

@@ -44,6 +44,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: significant(c) for c in columns})
 
 
+def eight_places(df: DataFrame, *columns: str) -> DataFrame:
+    """For figures between -1 and 1, where the noise is absolute."""
+    return df.withColumns({c: F.round(c, 8) + F.lit(0.0) for c in columns})
+
+
 def _scan_csv(w: Workspace) -> DataFrame:
     path = new_path(w.spark, "subscribers-csv")
     source.write_csv(w.subscribers, path)
@@ -262,14 +267,16 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["expected_counts"] = lambda w: rounded(hypothesis.expected_counts(w.features).select(
         "dim", "value", "flag", "observed", "expected"
     ), "expected")
-    q["pearson_matrix"] = lambda w: rounded(correlation.pearson_matrix(w.features), "correlation")
-    q["spearman_matrix"] = lambda w: rounded(
+    q["pearson_matrix"] = lambda w: eight_places(
+        correlation.pearson_matrix(w.features), "correlation"
+    )
+    q["spearman_matrix"] = lambda w: eight_places(
         correlation.spearman_matrix(w.features), "correlation"
     )
-    q["target_correlation"] = lambda w: rounded(
+    q["target_correlation"] = lambda w: eight_places(
         correlation.target_correlation(w.features), "pearson", "spearman"
     )
-    q["correlation_heatmap_data"] = lambda w: rounded(
+    q["correlation_heatmap_data"] = lambda w: eight_places(
         correlation.correlation_heatmap(w.features), *S.CORRELATION_COLUMNS
     )
     q["iqr_outliers"] = lambda w: rounded(distribution.iqr_outliers(w.features), *_FENCES)

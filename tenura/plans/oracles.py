@@ -86,6 +86,11 @@ def sig(expression: str) -> str:
     return f"(CAST(printf('%.9e', CAST({expression} AS DOUBLE)) AS DOUBLE) + 0.0E0)"
 
 
+def eight_places(expression: str) -> str:
+    """For figures between -1 and 1, where the noise is absolute."""
+    return f"(ROUND(CAST({expression} AS DOUBLE), 8) + 0.0E0)"
+
+
 def total(c: str) -> str:
     return f"COALESCE({_sum(c)}, 0.0E0)"
 
@@ -357,7 +362,7 @@ FROM cells JOIN shape USING (dim) GROUP BY dim""", _cells(dims))
 _ROWS_OF_PAIRS = """, wide AS (SELECT {pairs} FROM {source}
 ), long AS (
   SELECT split_part(pair, '|', 1) AS column_a, split_part(pair, '|', 2) AS column_b, r
-  FROM (UNPIVOT INCLUDE NULLS wide ON COLUMNS(*) INTO NAME pair VALUE r)
+  FROM wide UNPIVOT INCLUDE NULLS (r FOR pair IN (*))
 ), matrix AS (
   SELECT column_a, column_b,
          CASE WHEN column_a = column_b THEN 1.0E0 ELSE {r} END AS correlation
@@ -371,7 +376,7 @@ def _pairs(source: str) -> str:
     pairs = ", ".join(
         f'corr({a}, {b}) AS "{a}|{b}"' for i, a in enumerate(names) for b in names[i:]
     )
-    return _ROWS_OF_PAIRS.format(pairs=pairs, source=source, r=sig("r"))
+    return _ROWS_OF_PAIRS.format(pairs=pairs, source=source, r=eight_places("r"))
 
 
 def _ranks() -> str:
