@@ -39,7 +39,12 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        # The tables are small: let even 64 KB of shuffled data keep its own task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # No call-site capture for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}

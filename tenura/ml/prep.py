@@ -71,13 +71,15 @@ def standard_scale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) ->
 
 
 def spread(df: DataFrame, key: str, rows_per_task: int = 10_000) -> DataFrame:
-    """Use the cores for passes that repeat over the data: a table in too few
-    files for its rows is redistributed by key, any other is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    tasks = min(cores, 1 + df.count() // rows_per_task)
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, key)
+    """Partition for passes that repeat over the data. A table in too few files
+    for its rows is redistributed by key over the cores; one in more pieces
+    than its rows are worth is merged without a shuffle."""
+    pieces = df.rdd.getNumPartitions()
+    worth = 1 + df.count() // rows_per_task
+    wanted = min(worth, df.sparkSession.sparkContext.defaultParallelism)
+    if pieces < wanted:
+        return df.repartition(wanted, key)
+    return df.coalesce(worth) if pieces > worth else df
 
 
 def one_hot(columns: Sequence[str]) -> list:

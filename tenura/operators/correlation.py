@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -16,40 +16,48 @@ from tenura.sources.shared import pin
 from tenura.schema import CORRELATION_COLUMNS, CUSTOMER_ID, TARGET_FLAG
 
 
+MAX_PATTERNS = 1024
+
+
 def _complete_blocks(df: DataFrame, columns: Sequence[str]
-                     ) -> Iterator[tuple[list[str], list[str]]]:
-    """(columns that must be present, columns to correlate on those rows) such
-    that every pair of columns is covered on exactly its complete rows."""
-    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    full = [c for c in columns if not missing[c]]
-    holed = [c for c in columns if missing[c]]
-    if full:
-        yield [], full
-    for c in holed:
-        yield [c], [c, *full]
-    for a, b in combinations(holed, 2):
-        yield [a, b], [a, b]
-
-
-def _pairs(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, float | None]]:
+                     ) -> list[tuple[list[str], list[tuple[str, str]]]]:
+    """Pairs of columns grouped by the rows on which both are present, as
+    (columns of the group, pairs). On those rows the whole group is present, so
+    each group needs one pass. Tables have few distinct patterns of nulls."""
+    bit = {c: 1 << i for i, c in enumerate(columns)}
+    mask = sum((F.when(F.col(c).isNull(), F.lit(b)).otherwise(0) for c, b in bit.items()),
+               F.lit(0).cast("bigint"))
+    rows = df.select(mask.alias("mask")).distinct().limit(MAX_PATTERNS + 1).collect()
+    patterns = [r["mask"] for r in rows]
+    groups: dict = {}
+    for a, b in combinations_with_replacement(columns, 2):
+        left_out = frozenset(m for m in patterns if m & (bit[a] | bit[b]))
+        shared = left_out if len(patterns) <= MAX_PATTERNS else (a, b)
+        groups.setdefault(shared, []).append((a, b))
+    return [
+        ([c for c in columns if any(c in pair for pair in pairs)], pairs)
+        for pairs in groups.values()
+    ]
+
+
+def _correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
     """Correlations of complete columns; one distributed Gram matrix, of which
     only the columns x columns result reaches the driver."""
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(doubles)
     matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    return [
-        (columns[i], columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i in range(len(columns)) for j in range(len(columns))
-    ]
+    return {
+        (a, b): None if matrix[i, j] != matrix[i, j] else float(matrix[i, j])
+        for i, a in enumerate(columns) for j, b in enumerate(columns)
+    }
 
 
 def _matrix(df: DataFrame, columns: Sequence[str], prepare) -> DataFrame:
     cells: dict[tuple[str, str], float | None] = {}
-    for present, block in _complete_blocks(df, columns):
-        rows = df.dropna(subset=present) if present else df
-        for a, b, r in _pairs(prepare(rows, block), block):
-            if not present or present[0] in (a, b):
-                cells[a, b] = r
+    for block, pairs in _complete_blocks(df, columns):
+        found = _correlations(prepare(df.dropna(subset=block), block), block)
+        for a, b in pairs:
+            cells[a, b] = cells[b, a] = found[a, b]
     data = [(a, b, cells[a, b]) for a in columns for b in columns]
     return df.sparkSession.createDataFrame(
         data, "column_a string, column_b string, correlation double"
@@ -70,12 +78,14 @@ def ranked_columns(df: DataFrame, columns: Sequence[str], key: str = CUSTOMER_ID
     doubles = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
     long = doubles.unpivot([key], list(columns), "column", "value")
     ranks = pin(average_rank(running_counts(long, ["value"], ["column"])), "ranks")
+    distinct = {r[0]: r[1] for r in ranks.groupBy("column").count().collect()}  # per column
     ranked = doubles
     for c in columns:
         of_column = ranks.where(F.col("column") == c).select(
             F.col("value").alias(c), "n", F.col("avg_rank").alias(f"{c}_rank")
         )
-        ranked = attach_by_value(ranked, of_column, c, f"{c}_rank", [key])
+        ranked = attach_by_value(ranked, of_column, c, f"{c}_rank", [key],
+                                 distinct.get(c, 0))
     return ranked.select(key, *[F.col(f"{c}_rank").alias(c) for c in columns])
 
 

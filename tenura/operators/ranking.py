@@ -82,16 +82,18 @@ def average_rank(counts: DataFrame) -> DataFrame:
 
 
 def attach_by_value(df: DataFrame, lookup: DataFrame, value: str, out: str, key: Sequence[str],
-                    broadcast_rows: int = BROADCAST_ROWS, hot_values: int = 1000) -> DataFrame:
+                    distinct: int, broadcast_rows: int = BROADCAST_ROWS,
+                    hot_values: int = 1000) -> DataFrame:
     """Left-join ``lookup(value, n, out)`` to ``df`` on a possibly skewed value.
 
-    A lookup within ``broadcast_rows`` is broadcast. Beyond that, the values
+    ``distinct`` is the counted size of the lookup. Within ``broadcast_rows`` it
+    is broadcast. Beyond that, the values
     holding more than 1/``hot_values`` of all rows (so at most ``hot_values`` of
     them) are broadcast, and only the other rows meet the lookup in a shuffle;
     rows already served are spread over it by their key.
     """
     lookup = lookup.select(F.col(value).alias("_v"), "n", F.col(out).alias("_out"))
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if distinct <= broadcast_rows:
         small = F.broadcast(lookup.drop("n"))
         return (
             df.join(small, df[value] == small["_v"], "left")

@@ -44,6 +44,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: significant(c) for c in columns})
 
 
+def six_places(df: DataFrame, *columns: str) -> DataFrame:
+    """For quantiles of amounts, which are multiples of a fraction of a cent."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def eight_places(df: DataFrame, *columns: str) -> DataFrame:
     """For figures between -1 and 1, where the noise is absolute."""
     return df.withColumns({c: F.round(c, 8) + F.lit(0.0) for c in columns})
@@ -152,8 +157,8 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["profile_tail"] = lambda w: profile.profile_tail(w.subscribers)
     q["profile_sample"] = lambda w: profile.profile_sample(w.subscribers)
     q["profile_schema"] = lambda w: profile.profile_schema(w.raw)
-    q["profile_describe"] = lambda w: rounded(
-        profile.profile_describe(w.raw), "mean", "std", "p25", "p50", "p75"
+    q["profile_describe"] = lambda w: six_places(
+        rounded(profile.profile_describe(w.raw), "std"), "mean", "p25", "p50", "p75"
     )
     q["profile_nunique"] = lambda w: profile.profile_nunique(w.raw)
     q["missing_by_column"] = lambda w: quality.missing_by_column(clean.coerce_numbers(w.raw))
@@ -210,12 +215,10 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
         )
     for i, d in enumerate(S.METRIC_DIMS):
         m = S.METRICS[i % len(S.METRICS)]
-        q[f"metric_summary_{_slug(d)}_{_slug(m)}"] = lambda w, d=d, m=m: rounded(
-            segments.metric_summary(w.features, d, m), "std", "median", "share_of_total"
+        q[f"metric_summary_{_slug(d)}_{_slug(m)}"] = lambda w, d=d, m=m: _summary(
+            segments.metric_summary(w.features, d, m)
         )
-    q["metric_summary_all"] = lambda w: rounded(
-        segments.metric_summary_all(w.features), "std", "median", "share_of_total"
-    )
+    q["metric_summary_all"] = lambda w: _summary(segments.metric_summary_all(w.features))
     for d in S.EDA_DIMS:
         q[f"crosstab_pct_{_slug(d)}"] = lambda w, d=d: segments.crosstab_pct(w.features, d)
         q[f"count_by_hue_{_slug(d)}"] = lambda w, d=d: segments.count_by_hue(w.features, d)
@@ -230,12 +233,10 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["business_report"] = lambda w: kpis.business_report(w.features, w.unique_ids)
     q["probabilities"] = lambda w: rounded(kpis.probabilities(w.features), "value")
     q["class_distribution"] = lambda w: segments.class_distribution(w.features)
-    q["distribution_stats"] = lambda w: rounded(
-        distribution.distribution_stats(w.features), *_STATS
-    )
+    q["distribution_stats"] = lambda w: _statistics(distribution.distribution_stats(w.features))
     for m in S.METRICS:
-        q[f"distribution_stats_{_slug(m)}"] = lambda w, m=m: rounded(
-            distribution.distribution_stats(w.features, [m]), *_STATS
+        q[f"distribution_stats_{_slug(m)}"] = lambda w, m=m: _statistics(
+            distribution.distribution_stats(w.features, [m])
         )
     q["sort_by_rate"] = lambda w: ranking.sort_by_rate(
         segments.churn_rate_by(w.features, "tenure"), "churn_rate", "tenure"
@@ -279,8 +280,8 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["correlation_heatmap_data"] = lambda w: eight_places(
         correlation.correlation_heatmap(w.features), *S.CORRELATION_COLUMNS
     )
-    q["iqr_outliers"] = lambda w: rounded(distribution.iqr_outliers(w.features), *_FENCES)
-    q["iqr_outlier_rows"] = lambda w: rounded(
+    q["iqr_outliers"] = lambda w: six_places(distribution.iqr_outliers(w.features), *_FENCES)
+    q["iqr_outlier_rows"] = lambda w: six_places(
         distribution.outlier_rows(w.features), "Lower_Bound", "Upper_Bound"
     )
 
@@ -332,11 +333,18 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     return q
 
 
-_STATS = ("mean", "median", "std", "variance", "q1", "q2", "q3", "range", "iqr", "skew",
-          "kurtosis")
 _FENCES = ("Q1", "Q3", "IQR", "Lower_Bound", "Upper_Bound")
 
 
+def _summary(df: DataFrame) -> DataFrame:
+    return six_places(rounded(df, "std", "share_of_total"), "median")
+
+
+def _statistics(df: DataFrame) -> DataFrame:
+    moments = rounded(df, "std", "variance", "skew", "kurtosis")
+    return six_places(moments, "median", "q1", "q2", "q3", "range", "iqr")
+
+
 def _welch(w: Workspace, names: list[str]) -> DataFrame:
     result = hypothesis.welch_t(w.features, names, p_value=False)
     return rounded(result, "mean1", "mean0", "t_statistic", "df")

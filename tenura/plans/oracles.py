@@ -86,6 +86,11 @@ def sig(expression: str) -> str:
     return f"(CAST(printf('%.9e', CAST({expression} AS DOUBLE)) AS DOUBLE) + 0.0E0)"
 
 
+def six_places(expression: str) -> str:
+    """For quantiles of amounts, which are multiples of a fraction of a cent."""
+    return f"ROUND(CAST({expression} AS DOUBLE), 6)"
+
+
 def eight_places(expression: str) -> str:
     """For figures between -1 and 1, where the noise is absolute."""
     return f"(ROUND(CAST({expression} AS DOUBLE), 8) + 0.0E0)"
@@ -143,10 +148,11 @@ def _metric_summary(d: str, m: str) -> str:
     return on_features(f"""
 SELECT {d}, "count", "sum", "mean", median, "min", "max", std,
        {sig('"sum" / SUM("sum") OVER ()')} AS share_of_total,
-       DENSE_RANK() OVER (ORDER BY "mean" DESC NULLS LAST)::INT AS metric_rank
+       CASE WHEN "mean" IS NOT NULL
+            THEN DENSE_RANK() OVER (ORDER BY "mean" DESC NULLS LAST)::INT END AS metric_rank
 FROM g""", f""", g AS (
   SELECT {d}, COUNT({m}) AS "count", {total(m)} AS "sum", {mean(m)} AS "mean",
-         {sig(f'quantile_cont(CAST({m} AS DOUBLE), 0.5)')} AS median,
+         {six_places(f'quantile_cont(CAST({m} AS DOUBLE), 0.5)')} AS median,
          CAST(MIN({m}) AS DOUBLE) AS "min", CAST(MAX({m}) AS DOUBLE) AS "max",
          {sig(f'stddev_samp({m})')} AS std
   FROM feat GROUP BY {d}
@@ -162,13 +168,13 @@ def _metric_summaries(dims: list[str], metrics: list[str], columns: str) -> str:
     return on_features(f"""
 SELECT {columns} FROM (
   SELECT *, {sig('"sum" / SUM("sum") OVER (PARTITION BY dim, metric)')} AS share_of_total,
-         DENSE_RANK() OVER (PARTITION BY dim, metric ORDER BY "mean" DESC NULLS LAST)::INT
-           AS metric_rank
+         CASE WHEN "mean" IS NOT NULL THEN DENSE_RANK() OVER (
+           PARTITION BY dim, metric ORDER BY "mean" DESC NULLS LAST)::INT END AS metric_rank
   FROM g)""", f""", pairs AS (
   {parts}
 ), g AS (
   SELECT dim, dim_value, metric, COUNT(v) AS "count", {total('v')} AS "sum", {mean('v')} AS "mean",
-         {sig('quantile_cont(v, 0.5)')} AS median, MIN(v) AS "min", MAX(v) AS "max",
+         {six_places('quantile_cont(v, 0.5)')} AS median, MIN(v) AS "min", MAX(v) AS "max",
          {sig('stddev_samp(v)')} AS std
   FROM pairs GROUP BY dim, dim_value, metric
 )""")
@@ -215,14 +221,14 @@ def _distribution(metrics: list[str]) -> str:
 
         def q(p: float) -> str:
             return f"quantile_cont({v}, {p})"
-        return f"""SELECT '{m}' AS metric, COUNT({m}) AS "count", {sig(mean(m))} AS "mean",
-       {sig(q(0.5))} AS median,
+        return f"""SELECT '{m}' AS metric, COUNT({m}) AS "count", {mean(m)} AS "mean",
+       {six_places(q(0.5))} AS median,
        (SELECT v FROM (SELECT {v} AS v, COUNT(*) AS n FROM feat WHERE {m} IS NOT NULL GROUP BY 1)
         ORDER BY n DESC, v LIMIT 1) AS "mode",
        {sig(f'stddev_samp({m})')} AS std, {sig(f'var_samp({m})')} AS variance,
-       MIN({v}) AS "min", {sig(q(0.25))} AS q1, {sig(q(0.5))} AS q2, {sig(q(0.75))} AS q3,
-       MAX({v}) AS "max", {sig(f'MAX({v}) - MIN({v})')} AS "range",
-       {sig(f'{q(0.75)} - {q(0.25)}')} AS iqr,
+       MIN({v}) AS "min", {six_places(q(0.25))} AS q1, {six_places(q(0.5))} AS q2, {six_places(q(0.75))} AS q3,
+       MAX({v}) AS "max", {six_places(f'MAX({v}) - MIN({v})')} AS "range",
+       {six_places(f'{q(0.75)} - {q(0.25)}')} AS iqr,
        {sig(f'skewness({v})')} AS skew, {sig(f'kurtosis({v})')} AS kurtosis
 FROM feat"""
     return on_features(_union([one(m) for m in metrics]))
@@ -359,49 +365,51 @@ SELECT dim, {sig('SUM(pow(ABS(observed - expected) - CASE WHEN dof = 1 THEN LEAS
 FROM cells JOIN shape USING (dim) GROUP BY dim""", _cells(dims))
 
 
-_ROWS_OF_PAIRS = """, wide AS (SELECT {pairs} FROM {source}
-), long AS (
-  SELECT split_part(pair, '|', 1) AS column_a, split_part(pair, '|', 2) AS column_b, r
-  FROM wide UNPIVOT INCLUDE NULLS (r FOR pair IN (*))
-), matrix AS (
-  SELECT column_a, column_b,
-         CASE WHEN column_a = column_b THEN 1.0E0 ELSE {r} END AS correlation
-  FROM (SELECT * FROM long
-        UNION ALL SELECT column_b, column_a, r FROM long WHERE column_a <> column_b)
+def _pairs(name: str, one) -> str:
+    """A CTE (column_a, column_b, correlation); one(a, b) selects a pair's r."""
+    names = S.CORRELATION_COLUMNS
+    upper = _union([
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, ({one(a, b)}) AS r"
+        for i, a in enumerate(names) for b in names[i + 1:]
+    ])
+    same = _union([f"SELECT '{c}', '{c}', 1.0E0" for c in names])
+    return f""", {name}_upper AS MATERIALIZED (
+{upper}
+), {name} AS (
+  SELECT column_a, column_b, {eight_places('r')} AS correlation
+  FROM (SELECT * FROM {name}_upper UNION ALL SELECT column_b, column_a, r FROM {name}_upper
+        UNION ALL {same})
 )"""
 
 
-def _pairs(source: str) -> str:
-    names = S.CORRELATION_COLUMNS
-    pairs = ", ".join(
-        f'corr({a}, {b}) AS "{a}|{b}"' for i, a in enumerate(names) for b in names[i:]
-    )
-    return _ROWS_OF_PAIRS.format(pairs=pairs, source=source, r=eight_places("r"))
+def _pearson() -> str:
+    return _pairs("pearson", lambda a, b: f"SELECT corr({a}, {b}) FROM feat")
 
 
-def _ranks() -> str:
-    columns = ", ".join(
-        f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0E0 AS {c}"
-        for c in S.CORRELATION_COLUMNS
-    )
-    return f", ranks AS (SELECT {columns} FROM feat)"
+def _spearman() -> str:
+    """Ranks are taken on the rows where both columns are present."""
+    def one(a: str, b: str) -> str:
+        ranks = ", ".join(
+            f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0E0 AS {name}"
+            for c, name in ((a, "ra"), (b, "rb"))
+        )
+        return (f"SELECT corr(ra, rb) FROM (SELECT {ranks} FROM feat "
+                f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+    return _pairs("spearman", one)
 
 
 def _target_correlation() -> str:
-    spearman = _pairs("ranks").replace("wide", "wide_s").replace("long", "long_s").replace(
-        "matrix AS", "matrix_s AS"
-    )
     return on_features("""
-SELECT m.column_a AS column_name, m.correlation AS pearson, s.correlation AS spearman
-FROM matrix m JOIN matrix_s s ON m.column_a = s.column_a AND m.column_b = s.column_b
-WHERE m.column_b = 'Churn_Flag'""", _pairs("feat") + _ranks() + spearman)
+SELECT p.column_a AS column_name, p.correlation AS pearson, s.correlation AS spearman
+FROM pearson p JOIN spearman s ON p.column_a = s.column_a AND p.column_b = s.column_b
+WHERE p.column_b = 'Churn_Flag'""", _pearson() + _spearman())
 
 
 def _heatmap() -> str:
     cells = ", ".join(
         f"MAX(correlation) FILTER (WHERE column_b = '{c}') AS {c}" for c in S.CORRELATION_COLUMNS
     )
-    return on_features(f"SELECT column_a, {cells} FROM matrix GROUP BY column_a", _pairs("feat"))
+    return on_features(f"SELECT column_a, {cells} FROM pearson GROUP BY column_a", _pearson())
 
 
 def _fences(rows: bool) -> str:
@@ -421,12 +429,12 @@ def _fences(rows: bool) -> str:
 )"""
     if rows:
         return on_features(f"""
-SELECT customerID, Feature, value, {sig('lo')} AS Lower_Bound, {sig('hi')} AS Upper_Bound
+SELECT customerID, Feature, value, {six_places('lo')} AS Lower_Bound, {six_places('hi')} AS Upper_Bound
 FROM vals JOIN b USING (Feature) WHERE value < lo OR value > hi""", more)
     return on_features(f"""
-SELECT Feature, {sig('ANY_VALUE(Q1)')} AS Q1, {sig('ANY_VALUE(Q3)')} AS Q3,
-       {sig('ANY_VALUE(IQR)')} AS IQR, {sig('ANY_VALUE(lo)')} AS Lower_Bound,
-       {sig('ANY_VALUE(hi)')} AS Upper_Bound,
+SELECT Feature, {six_places('ANY_VALUE(Q1)')} AS Q1, {six_places('ANY_VALUE(Q3)')} AS Q3,
+       {six_places('ANY_VALUE(IQR)')} AS IQR, {six_places('ANY_VALUE(lo)')} AS Lower_Bound,
+       {six_places('ANY_VALUE(hi)')} AS Upper_Bound,
        COUNT(*) FILTER (WHERE value < lo OR value > hi) AS Outlier_Count
 FROM vals JOIN b USING (Feature) GROUP BY Feature""", more)
 
@@ -438,11 +446,11 @@ def _describe() -> str:
         if c in numeric:
             v = f"CAST({c} AS DOUBLE)"
             quartiles = ", ".join(
-                f"{sig(f'quantile_cont({v}, {p})')} AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75)
+                f"{six_places(f'quantile_cont({v}, {p})')} AS p{round(p * 100)}" for p in (0.25, 0.5, 0.75)
             )
             return f"""SELECT '{c}' AS column_name, COUNT({c}) AS "count",
   CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
-  {sig(f'AVG({c})')} AS "mean", {sig(f'stddev_samp({c})')} AS std, MIN({v}) AS "min", {quartiles},
+  {six_places(f'AVG({c})')} AS "mean", {sig(f'stddev_samp({c})')} AS std, MIN({v}) AS "min", {quartiles},
   MAX({v}) AS "max" FROM subscribers_raw"""
         best = (f"(SELECT {{}} FROM (SELECT {c} AS v, COUNT(*) AS n FROM subscribers_raw "
                 f"WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
@@ -583,8 +591,8 @@ FROM feat WHERE MonthlyCharges IS NOT NULL"""),
             f"SELECT dim, value, flag, observed, {sig('expected')} AS expected FROM cells",
             _cells(S.CHI_SQUARE_DIMS),
         ),
-        "pearson_matrix": on_features("SELECT * FROM matrix", _pairs("feat")),
-        "spearman_matrix": on_features("SELECT * FROM matrix", _ranks() + _pairs("ranks")),
+        "pearson_matrix": on_features("SELECT * FROM pearson", _pearson()),
+        "spearman_matrix": on_features("SELECT * FROM spearman", _spearman()),
         "target_correlation": _target_correlation(),
         "correlation_heatmap_data": _heatmap(),
         "iqr_outliers": _fences(rows=False),

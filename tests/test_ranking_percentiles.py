@@ -73,8 +73,8 @@ def test_average_rank_equals_pandas(skewed, pdf, partitions):
 def test_lookup_by_value_small_and_split(skewed):
     counts = R.running_counts(skewed, ["v"])
     ranks = R.average_rank(counts).select("v", "n", F.col("avg_rank").alias("rank"))
-    small = R.attach_by_value(skewed, ranks, "v", "rank", ["id"])
-    split = R.attach_by_value(skewed, ranks, "v", "rank", ["id"], broadcast_rows=0)
+    small = R.attach_by_value(skewed, ranks, "v", "rank", ["id"], ranks.count())
+    split = R.attach_by_value(skewed, ranks, "v", "rank", ["id"], ranks.count(), broadcast_rows=0)
     assert small.columns == split.columns == [*skewed.columns, "rank"]
     assert small.exceptAll(split).isEmpty() and split.count() == skewed.count()
     assert split.where("v IS NOT NULL AND rank IS NULL").isEmpty()
