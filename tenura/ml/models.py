@@ -41,8 +41,8 @@ def gradient_boosting(n_train: int = 0, rounds: int = 100, depth: int = 3):
 def extra_trees(n_train: int = 0, trees: int = 300, depth: int = 30):
     """Nearest Spark form of extremely randomised trees: no bootstrap, a random
     feature subset per split. Thresholds are the best of the bins, not random,
-    and depth is limited to Spark's 30. Trees this deep are grown several times
-    faster when each row remembers its node instead of being routed again."""
+    and depth is limited to Spark's 30. Each row remembers its node, so that it
+    is not routed down every tree again at each level."""
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=RANDOM_SEED,
                                   bootstrap=False, featureSubsetStrategy="sqrt",
                                   cacheNodeIds=True, maxMemoryInMB=1024, **_COMMON)
