@@ -10,6 +10,7 @@ from tenura.llm.embed_dedup import op3_embedding_dedup
 from tenura.llm.html_text import op4_html_text
 from tenura.llm.knn import op2_exact_top_k
 from tenura.llm.language import op5_language_id
+from tenura.llm.packing import op8_packing
 from tenura.llm.pseudonyms import op7_pseudonyms
 from tenura.llm.quality import op6_quality
 from tenura.llm.simhash import op1_simhash_dedup
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def build_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (op1_simhash_dedup, op2_exact_top_k, op3_embedding_dedup, op4_html_text,
-                                    op5_language_id, op6_quality, op7_pseudonyms)}
+                                    op5_language_id, op6_quality, op7_pseudonyms, op8_packing)}
 
 
 def build_oracles() -> dict[str, str]:
