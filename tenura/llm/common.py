@@ -45,6 +45,15 @@ def map_batches(df: DataFrame, task: Callable[[Iterable[pa.RecordBatch]], Iterat
     return df.mapInArrow(task, schema)
 
 
+def with_text(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int, str]:
+    """The ``keep`` columns and the text, once; the place of the text; and the
+    schema of the ``keep`` columns."""
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    if text_col in keep:
+        return df.select(*keep), keep.index(text_col), ", ".join(kept)
+    return df.select(*keep, F.col(text_col).alias("__text")), len(keep), ", ".join(kept)
+
+
 def in_blocks(keyed: DataFrame, keys: list[str], item: str, block: int, name: str) -> DataFrame:
     """Deal the rows of every bucket to tasks of bounded size, losing no pair.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import map_batches, table
+from tenura.llm.common import map_batches, table, with_text
 
 SHORT, LONG = 70, 200  # characters
 FEW_STOP, MANY_STOP = 0.30, 0.32  # share of words
@@ -260,15 +260,15 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
     by one space. An unclosed tag at the end of a page is dropped, an unclosed
     comment hides what follows, like in a browser. Rows are mapped one by one."""
 
+    rows, at, kept = with_text(pages, keep, html_col)
+
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py()) for h in batch.column(len(keep))]
+            texts = [main_text(h.as_py()) for h in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [*keep, "text", "n_chars"])
 
-    rows = pages.select(*keep, F.col(html_col).alias("__html"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return map_batches(rows, task, f"{kept}, text string, n_chars bigint")
 
 

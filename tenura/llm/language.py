@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import crc_slice, map_batches, table
+from tenura.llm.common import crc_slice, map_batches, table, with_text
 
 UNDECIDED = "und"
 BUCKETS = 1 << 16  # hashed trigrams; bounds the model per language
@@ -146,12 +146,13 @@ def label(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     does every text if no language was learned. Equal shares go to the language
     first in the alphabet."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at, kept = with_text(docs, keep, text_col)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             names, scores, mixes = [], [], []
-            for text in batch.column(len(keep)):
+            for text in batch.column(at):
                 words = words_of(text.as_py())
                 shares = model.shares(words) if words and model.languages else np.zeros(0)
                 best = int(shares.argmax()) if len(shares) else -1
@@ -163,8 +164,6 @@ def label(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                  pa.array(mixes, pa.map_(pa.string(), pa.float64()))],
                 [*keep, "lang_pred", "score", "shares"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return map_batches(rows, task, f"{kept}, lang_pred string, score double, shares map<string,double>")
 
 

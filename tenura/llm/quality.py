@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenura.llm.common import crc_slice, map_batches, table
+from tenura.llm.common import crc_slice, map_batches, table, with_text
 from tenura.llm.html_text import STOP_WORDS
 
 SAMPLE = 20_000  # labelled rows to fit on, at most
@@ -203,17 +203,16 @@ def score(docs: DataFrame, model: Additive, keep: list[str], text_col: str = "te
     """The ``keep`` columns of every row with ``score`` (0 to 1) and ``predicted``
     (1 from 0.5). Null, empty and blank texts are scored as texts of length 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, at, kept = with_text(docs, keep, text_col)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([features(t.as_py()) for t in batch.column(len(keep))]).reshape(-1, len(FEATURES))
+            values = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(-1, len(FEATURES))
             found = shared.value.score(values)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(found), pa.array((found >= 0.5).astype(np.int32))],
                 [*keep, "score", "predicted"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return map_batches(rows, task, f"{kept}, score double, predicted int")
 
 
