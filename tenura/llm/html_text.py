@@ -221,12 +221,16 @@ def main_blocks(html: str) -> list[str]:
 
     An undecided block between a text and a furniture block takes the label of
     the nearer one, text on a tie; a heading looks only forward, if anything
-    follows. A page on which nothing is decided is text throughout."""
+    follows. If no block is text by its stop words, they are left out; a page
+    on which nothing is decided is text throughout."""
     blocks = blocks_of(html)
     inside = [b for b in blocks if b.landmark]
     blocks = inside or blocks
     for block in blocks:
         block.label = judge(block, bool(inside))
+    if all(b.label != TEXT for b in blocks):
+        for block in blocks:  # a language without a list: only links speak against a block
+            block.label = judge(block, True)
     decided = [i for i, b in enumerate(blocks) if b.label]
     labels = [b.label for b in blocks]
     before = after = None
@@ -242,7 +246,8 @@ def main_blocks(html: str) -> list[str]:
         if not near:
             labels[i] = TEXT
         elif len(near) == 2 and blocks[near[0]].label != blocks[near[1]].label:
-            labels[i] = blocks[near[0] if i - near[0] < near[1] - i else near[1]].label if i - near[0] != near[1] - i else TEXT
+            back, forth = i - near[0], near[1] - i
+            labels[i] = TEXT if back == forth else blocks[near[0] if back < forth else near[1]].label
         else:
             labels[i] = blocks[near[-1]].label
     return [b.joined for b, label in zip(blocks, labels) if label == TEXT]
