@@ -31,7 +31,10 @@ DOCUMENT, SENTENCE, INSIDE = 0, 4, 64  # penalty of a cut, in tokens of padding
 SEQUENCE = 8  # price of one more sequence
 GRID = 64  # distance of places inside sentences
 STREAM = 1 << 20  # tokens packed together
-WORDS_KEPT = 1_000_000  # encoded words a Python worker remembers
+WORDS_KEPT, PARTS_KEPT = 600_000, 1_000_000  # what a Python worker remembers
+DOCS = 128  # documents whose words are looked up together
+MARKS = ".,!?;:*#$%&"
+LAST_LATIN, DOTTED_I = "\u024f", "\u0130"
 SPACE = re.compile(r"[^ \n\t\r]+")
 SENTENCE_ENDS = tuple(end + mark for end in ".!?" for mark in ("", '"', "'", ")", "»", "”"))
 
@@ -44,35 +47,58 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.ending: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS_KEPT:
+        if len(self.known) + len(words) > WORDS_KEPT:
             self.known, self.ending = {}, set()
-            new = list(words)
+        new = {w: _halves(w) for w in words if w not in self.known}
+        self._encode_parts({part for halves in new.values() for part in halves})
+        for word, (core, tail) in new.items():
+            self.known[word] = self.parts[core] + self.parts[tail]
+        self.ending.update(w for w in new if w.endswith(SENTENCE_ENDS))
+
+    def _encode_parts(self, parts: set[str]) -> None:
+        if len(self.parts) + len(parts) > PARTS_KEPT:
+            self.parts = {"": b""}
+        new = [p for p in parts if p not in self.parts]
         for at in range(0, len(new), 5_000):
             some = new[at:at + 5_000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             data = np.array(found.ids, dtype="<u4").tobytes()
             begins = np.array([start for start, _ in found.offsets])
-            cuts = np.searchsorted(begins, np.cumsum([len(w) + 1 for w in some])).tolist()
-            for word, a, b in zip(some, [0, *cuts], cuts):
-                self.known[word] = data[a * 4:b * 4]
-        self.ending.update(w for w in new if w.endswith(SENTENCE_ENDS))
+            cuts = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in some])).tolist()
+            for part, a, b in zip(some, [0, *cuts], cuts):
+                self.parts[part] = data[a * 4:b * 4]
 
     def encode(self, text: str | None) -> tuple[bytes, list[int]]:
         """Ids with the end id, as little-endian bytes, and the token counts
         up to the end of each sentence."""
-        words = split_words(text) if text else []
-        pieces = list(map(self.known.get, words))
-        if None in pieces:
-            self.learn(set(words))
-            pieces = list(map(self.known.get, words))
-        ending = self.ending
-        ends = [i for i, w in enumerate(words) if w in ending]
-        upto = list(accumulate(map(len, pieces)))
-        return b"".join(pieces) + self.end, [upto[i] >> 2 for i in ends]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[int]]]:
+        split = [split_words(t) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        known, ending = self.known, self.ending
+        for words in split:
+            pieces = list(map(known.__getitem__, words))
+            ends = [i for i, w in enumerate(words) if w in ending]
+            upto = list(accumulate(map(len, pieces)))
+            yield b"".join(pieces) + self.end, [upto[i] >> 2 for i in ends]
+
+
+def _halves(word: str) -> tuple[str, str]:
+    """A word as core and final marks, if the vocabulary cuts it there in any case:
+    marks after a Latin letter or digit are tokens of their own. The vocabulary
+    knows no capitals, so such a core is lower-cased. Special tokens and other
+    scripts stay whole."""
+    core = word.rstrip(MARKS)
+    if not core or not core[-1].isalnum() or "|" in core:
+        return word, ""
+    if not core.isascii() and (max(core) > LAST_LATIN or DOTTED_I in core):
+        return word, ""
+    return core.lower(), word[len(core):]
 
 
 def split_words(text: str) -> list[str]:
@@ -188,12 +214,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     An empty table gives no pieces."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id).encode
+        encode_all = encoder(tokenizer, end_id).encode_all
         sequence = TaskContext.get().partitionId() << 32
         stream = Stream([], [0], [DOCUMENT])
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, ends = encode(text.as_py())
+        some = (batch.slice(at, DOCS) for batch in batches for at in range(0, batch.num_rows, DOCS))
+        for batch in some:
+            found = encode_all(batch.column(1).to_pylist())
+            for doc_id, (ids, ends) in zip(batch.column(0).to_pylist(), found):
                 begin = stream.places[-1]
                 total = begin + (len(ids) >> 2)
                 last = begin

@@ -101,3 +101,12 @@ def test_edges(spark):
     same = pack(spark.createDataFrame([(7, "a b"), (7, "a b"), (None, "c")], "doc_id bigint, text string").coalesce(1), PATH, 2).collect()
     assert [(p.doc_id, p.offset) for p in same] == [(7, 0), (7, 3), (None, 6)] and len({p.sequence_id for p in same}) == 1
     assert pack(df.limit(0), PATH, 2).collect() == []
+
+
+def test_every_word_of_the_documents_encodes_like_alone(spark):
+    encoder = Encoder(PATH, 2)
+    words = {w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in r.text.split()}
+    words |= {"İ.", "ΑΣ.", "<|ENDOFTEXT|>.", "<|endoftext|>!", "x<|endoftext|>", "...", "it's.", "a'S,", "'re!", "5.", "½,", "ǅ.", "ß!", "\".", "x\".", "ﬁ.", "Å.", "日本."}
+    encoder.learn(words)
+    expected = plain_ids(sorted(words))
+    assert [np.frombuffer(encoder.known[w], dtype="<u4").tolist() + [2] for w in sorted(words)] == expected
