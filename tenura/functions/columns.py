@@ -9,8 +9,6 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tenura.schema import DECIMAL_PLACES
-
 
 def strip(c: Column | str) -> Column:
     """Remove any leading and trailing whitespace, not only spaces."""
@@ -18,8 +16,19 @@ def strip(c: Column | str) -> Column:
 
 
 def to_number(c: Column | str, type_name: str = "double") -> Column:
-    """Tolerant cast: text that is not a number becomes null."""
-    return F.col(c).try_cast(type_name) if isinstance(c, str) else c.try_cast(type_name)
+    """Tolerant cast: text that is not a number, NaN included, becomes null, and so
+    does a number that the type can't hold, such as a fraction in an integer."""
+    value = without_nan(F.col(c) if isinstance(c, str) else c)
+    if type_name == "double":
+        return value
+    typed = value.try_cast(type_name)
+    return F.when(typed.cast("double") == value, typed)
+
+
+def without_nan(c: Column) -> Column:
+    """As a double, with null for NaN and for what is not a number."""
+    value = c.try_cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def map_values(c: str, mapping: Mapping, type_name: str) -> Column:
@@ -60,21 +69,24 @@ def churned(c: str = "Churn", collation: str | None = None) -> Column:
 
 # --- aggregates -------------------------------------------------------------
 
-def exact_sum(c: Column, places: int | None) -> Column:
-    """Sum as a double; added up as decimals when the scale is known."""
-    if places is None:
-        return F.sum(c.cast("double"))
-    return F.sum(c.cast(f"decimal(18,{places})")).cast("double")
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that doesn't depend on the order of rows: decimals of ten
+    places, plus what these leave over (next to nothing, or a value too large
+    for them as a whole)."""
+    part = F.coalesce(value.try_cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)"))
+    part = F.when(value.isNotNull(), part)
+    return F.sum(part).cast("double") + F.sum(value - part.cast("double"))
 
 
 def total(name: str) -> Column:
-    """Sum of a column; 0 for a group without values."""
-    return F.coalesce(exact_sum(F.col(name), DECIMAL_PLACES.get(name)), F.lit(0.0))
+    """Sum of a column without NaN; 0 for a group without values."""
+    return F.coalesce(exact_sum(without_nan(F.col(name))), F.lit(0.0))
 
 
 def mean(name: str) -> Column:
-    """Mean of the non-null values; null for a group without values."""
-    return F.try_divide(exact_sum(F.col(name), DECIMAL_PLACES.get(name)), F.count(name))
+    """Mean of the values that are neither null nor NaN; null if there are none."""
+    value = without_nan(F.col(name))
+    return F.try_divide(exact_sum(value), F.count(value))
 
 
 def customers(key: str, unique: bool) -> Column:

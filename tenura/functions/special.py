@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
+NORMAL_FROM = 3000.0  # degrees of freedom
 
 
 def _continued_fraction(term, first: float) -> float:
@@ -24,8 +25,8 @@ def _continued_fraction(term, first: float) -> float:
         c = (b + a / c) or _TINY
         value *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError("a continued fraction did not converge")
 
 
 def beta_tail(x: float, a: float, b: float) -> float:
@@ -73,7 +74,18 @@ def gamma_upper(s: float, x: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return beta_tail(df / (df + t * t), df / 2, 0.5)
+    """The beta function, or above ``NORMAL_FROM`` degrees the normal tail at a
+    deviate transformed by an expansion in 1/df, whose error there is below
+    double precision."""
+    if df < NORMAL_FROM:
+        return beta_tail(df / (df + t * t), df / 2, 0.5)
+    a = df - 0.5
+    square = a * math.log1p(t * t / df)
+    x = math.sqrt(square)
+    b = 48.0 * a * a
+    below = 10.0 * b * (b + 0.8 * square * square + 100.0)
+    x += x * (square + 3.0) / b - x * (((4.0 * square + 33.0) * square + 240.0) * square + 855.0) / below
+    return normal_two_sided(x)
 
 
 def chi_square_upper(chi2: float, dof: float) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenura.ml.prep import (
-    Preprocessor, feature_types, ml_feature_frame, spread, stratified_split,
+    Preprocessor, PreprocessorModel, feature_types, ml_feature_frame, spread, stratified_split,
 )
 from tenura.schema import RANDOM_SEED, TARGET_FLAG
+from tenura.sources.shared import new_path
 
 _COMMON = {"featuresCol": "features", "labelCol": "label"}
 
@@ -65,16 +66,26 @@ def fit_predict(build: Callable, train: DataFrame, test: DataFrame, key: str = "
                 label: str = TARGET_FLAG, **parameters) -> DataFrame:
     """Fit preprocessing and classifier on ``train``; key, label, prediction and
     probability of every row of ``test``."""
-    prep = Preprocessor(*feature_types(train, key, label)).fit(train)
-    vectors = with_label(spread(prep.transform(train).select(key, label, "features"), key))
-    vectors = vectors.select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    prep, vectors = training_vectors(train, key, label)
     try:
-        model = build(vectors.count(), **parameters).fit(vectors)
+        model = build(vectors.count(), **parameters).fit(vectors.select("label", "features"))
     finally:
         vectors.unpersist()
     return model.transform(prep.transform(test)).select(key, label, "prediction", "probability")
 
 
+def training_vectors(train: DataFrame, key: str = "customerID", label: str = TARGET_FLAG,
+                     more: Sequence[str] = ()) -> tuple[PreprocessorModel, DataFrame]:
+    """The fitted preprocessing and the encoded rows, written once in a layout
+    that doesn't depend on the cores, and kept while fits read them again."""
+    numeric, categorical = feature_types(train.drop(*more), key, label)
+    prep = Preprocessor(numeric, categorical).fit(train)
+    encoded = with_label(prep.transform(train), label).select(key, "label", "features", *more)
+    path = new_path(train.sparkSession, "vectors")
+    spread(encoded, key).write.parquet(path)
+    return prep, spread(train.sparkSession.read.parquet(path), key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train_and_predict(df: DataFrame, name: str, **parameters) -> DataFrame:
     """Predictions of a named model on the held-out fifth of the customers."""
     train, test = stratified_split(ml_feature_frame(df))

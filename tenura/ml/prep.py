@@ -70,16 +70,12 @@ def standard_scale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) ->
     })
 
 
-def spread(df: DataFrame, key: str, rows_per_task: int = 10_000) -> DataFrame:
-    """Partition for passes that repeat over the data. A table in too few files
-    for its rows is redistributed by key over the cores; one in more pieces
-    than its rows are worth is merged without a shuffle."""
-    pieces = df.rdd.getNumPartitions()
-    worth = 1 + df.count() // rows_per_task
-    wanted = min(worth, df.sparkSession.sparkContext.defaultParallelism)
-    if pieces < wanted:
-        return df.repartition(wanted, key)
-    return df.coalesce(worth) if pieces > worth else df
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Layout for passes that repeat over the data: dealt by key and sorted, so
+    that sampling by partition gives the same on any number of cores. The number
+    of partitions is the session's for shuffles unless it is given."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
 def one_hot(columns: Sequence[str]) -> list:
@@ -185,17 +181,20 @@ def stratified_cuts(df: DataFrame, fractions: Sequence[float], strata: str, key:
 def assign_parts(df: DataFrame, fractions: Sequence[float], out: str, strata: str = TARGET_FLAG,
                  key: str = CUSTOMER_ID, seed: int = RANDOM_SEED) -> DataFrame:
     """Number the rows 0..k by the cumulative fractions, exactly per stratum
-    (to the row). The cuts are a few rows; numbering is a narrow projection."""
+    (to the row). The cuts are a few rows; numbering is a narrow projection.
+
+    A fraction that rounds to no row of a stratum is passed by all its rows, so
+    every row gets a number; rows without stratum get the last one."""
     rows = stratified_cuts(df, fractions, strata, key, seed).collect()
     here = F.struct(hash_key(key, seed).alias("h"), F.col(key).alias("k"))
-    part = F
+    part = F.when(F.lit(False), F.lit(0))
     for r in rows:
         passed = sum((
             (here > F.struct(F.lit(c["h"]).cast("bigint").alias("h"), F.lit(c["k"]).alias("k"))).cast("int")
             for c in r["cuts"]
-        ), F.lit(0))
+        ), F.lit(len(fractions) - len(r["cuts"])))
         part = part.when(F.col(strata) == r[strata], passed)
-    return df.withColumn(out, part.otherwise(F.lit(None)).cast("int"))
+    return df.withColumn(out, part.otherwise(F.lit(len(fractions))).cast("int"))
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, strata: str = TARGET_FLAG,

@@ -7,16 +7,14 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tenura.ml.metrics import classification_metrics
-from tenura.ml.models import MODELS, fit_predict, with_label
-from tenura.ml.prep import Preprocessor, feature_types, ml_feature_frame, stratified_folds
+from tenura.ml.models import MODELS, fit_predict, training_vectors, with_label
+from tenura.ml.prep import ml_feature_frame, stratified_folds
 from tenura.schema import RANDOM_SEED, TARGET_FLAG
 
 # The grid as fixed values; depth None means as deep as Spark allows.
@@ -64,31 +62,40 @@ def balanced_weights(df: DataFrame, label: str = TARGET_FLAG) -> DataFrame:
 def rf_grid_search(df: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 3,
                    parallelism: int = 4) -> DataFrame:
     """Mean cross-validated area per setting, best first. The minimum number of
-    rows to split a node has no Spark parameter and is not searched."""
-    frame = ml_feature_frame(df)
-    rows = with_label(balanced_weights(stratified_folds(frame, folds)))
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=RANDOM_SEED,
-                                    featureSubsetStrategy="sqrt")
-    settings = (
-        ParamGridBuilder()
-        .addGrid(forest.numTrees, grid["trees"])
-        .addGrid(forest.maxDepth, [d or MAX_DEPTH for d in grid["depth"]])
-        .addGrid(forest.minInstancesPerNode, grid["min_leaf"])
-        .addGrid(forest.weightCol,
-                 ["weight" if w else "_even" for w in grid["class_weight"]])
-        .build()
-    )
-    search = CrossValidator(
-        estimator=Pipeline(stages=[Preprocessor(*feature_types(frame)), forest]), estimatorParamMaps=settings,
-        evaluator=BinaryClassificationEvaluator(labelCol="label", numBins=0),
-        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=RANDOM_SEED,
-    )
-    areas = search.fit(rows).avgMetrics
-    data = [
-        (s[forest.numTrees], s[forest.maxDepth], s[forest.minInstancesPerNode],
-         s[forest.weightCol] == "weight", float(a))
-        for s, a in zip(settings, areas, strict=True)
+    rows to split a node has no Spark parameter and is not searched.
+
+    Preprocessing is fitted once per fold and its vectors are written; only the
+    forests are fitted for each setting."""
+    rows = stratified_folds(ml_feature_frame(df), folds)
+    settings = [
+        (trees, depth or MAX_DEPTH, leaf, weight is not None)
+        for trees in grid["trees"] for depth in grid["depth"]
+        for leaf in grid["min_leaf"] for weight in grid["class_weight"]
     ]
+    evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
+    areas = [0.0] * len(settings)
+    for k in range(folds):
+        train, test = (rows.where(c).drop("fold") for c in (f"fold <> {k}", f"fold = {k}"))
+        prep, vectors = training_vectors(balanced_weights(train), more=["_even", "weight"])
+        held = with_label(prep.transform(test)).select("label", "features").persist()
+
+        def area(setting: tuple) -> float:
+            trees, depth, leaf, weighted = setting
+            forest = RandomForestClassifier(
+                labelCol="label", seed=RANDOM_SEED, featureSubsetStrategy="sqrt", numTrees=trees, maxDepth=depth,
+                minInstancesPerNode=leaf, weightCol="weight" if weighted else "_even",
+                cacheNodeIds=True, maxMemoryInMB=1024,
+            )
+            return evaluator.evaluate(forest.fit(vectors).transform(held))
+
+        try:
+            with ThreadPool(parallelism) as pool:
+                found = pool.map(inheritable_thread_target(df.sparkSession)(area), settings)
+        finally:
+            vectors.unpersist()
+            held.unpersist()
+        areas = [a + f / folds for a, f in zip(areas, found)]
+    data = [(*s, float(a)) for s, a in zip(settings, areas, strict=True)]
     return df.sparkSession.createDataFrame(
         data, "trees int, depth int, min_leaf int, balanced boolean, roc_auc double"
     ).orderBy(F.col("roc_auc").desc(), "trees", "depth", "min_leaf", "balanced")

@@ -3,61 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations_with_replacement
+from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.operators.ranking import attach_by_value, average_rank, running_counts
+from tenura.functions.columns import without_nan
+from tenura.operators.ranking import average_rank, running_counts
 from tenura.sources.shared import pin
 from tenura.schema import CORRELATION_COLUMNS, CUSTOMER_ID, TARGET_FLAG
 
+PAIRS_PER_PASS = 150  # pairs of one pass over the rows
 
-MAX_PATTERNS = 1024
-
-
-def _complete_blocks(df: DataFrame, columns: Sequence[str]
-                     ) -> list[tuple[list[str], list[tuple[str, str]]]]:
-    """Pairs of columns grouped by the rows on which both are present, as
-    (columns of the group, pairs). On those rows the whole group is present, so
-    each group needs one pass. Tables have few distinct patterns of nulls."""
-    bit = {c: 1 << i for i, c in enumerate(columns)}
-    mask = sum((F.when(F.col(c).isNull(), F.lit(b)).otherwise(0) for c, b in bit.items()),
-               F.lit(0).cast("bigint"))
-    rows = df.select(mask.alias("mask")).distinct().limit(MAX_PATTERNS + 1).collect()
-    patterns = [r["mask"] for r in rows]
-    groups: dict = {}
-    for a, b in combinations_with_replacement(columns, 2):
-        left_out = frozenset(m for m in patterns if m & (bit[a] | bit[b]))
-        shared = left_out if len(patterns) <= MAX_PATTERNS else (a, b)
-        groups.setdefault(shared, []).append((a, b))
-    return [
-        ([c for c in columns if any(c in pair for pair in pairs)], pairs)
-        for pairs in groups.values()
-    ]
-
-
-def _correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Correlations of complete columns; one distributed Gram matrix, of which
-    only the columns x columns result reaches the driver."""
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(doubles)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    return {
-        (a, b): None if matrix[i, j] != matrix[i, j] else float(matrix[i, j])
-        for i, a in enumerate(columns) for j, b in enumerate(columns)
-    }
-
-
-def _matrix(df: DataFrame, columns: Sequence[str], prepare) -> DataFrame:
-    cells: dict[tuple[str, str], float | None] = {}
-    for block, pairs in _complete_blocks(df, columns):
-        found = _correlations(prepare(df.dropna(subset=block), block), block)
-        for a, b in pairs:
-            cells[a, b] = cells[b, a] = found[a, b]
+Pair = tuple[str, str]
+
+
+def _pairs(columns: Sequence[str], target: str | None = None) -> list[Pair]:
+    """The pairs of columns that differ, or those with the target."""
+    if target is None:
+        return list(combinations(columns, 2))
+    return [(c, target) for c in columns if c != target]
+
+
+def _correlated(df: DataFrame, pairs: Sequence[Pair]) -> dict[Pair, float | None]:
+    """Correlation of each pair over the rows that have both, in one pass: a row
+    becomes its pairs of values, which combine before the shuffle. NaN counts as
+    missing; null for a constant column. The plan doesn't grow with the pairs."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place, n = {c: i for i, c in enumerate(columns)}, len(columns)
+    number = {place[a] * n + place[b]: (a, b) for a, b in pairs}
+    if not number:
+        return {}
+    values = df.select(F.array(*[without_nan(F.col(c)) for c in columns]).alias("v"))
+    numbers = ", ".join(map(str, number))
+    both = values.select(F.expr(
+        f"inline(transform(array({numbers}), p -> struct(p AS pair, v[p div {n}] AS a, v[p % {n}] AS b)))"
+    )).where("a IS NOT NULL AND b IS NOT NULL")
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    rows = both.groupBy("pair").agg(F.try_divide(F.covar_pop("a", "b"), spread).alias("r")).collect()
+    found = {number[row["pair"]]: row["r"] for row in rows}     # one row per pair of columns
+    return {pair: None if found.get(pair) is None or found[pair] != found[pair] else found[pair] for pair in pairs}
+
+
+def _varies(df: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
+    ends = [f(without_nan(F.col(c))) for c in columns for f in (F.min, F.max)]
+    row = df.agg(*ends).first()
+    return {c: row[2 * i] is not None and row[2 * i] < row[2 * i + 1] for i, c in enumerate(columns)}
+
+
+def _matrix(df: DataFrame, columns: Sequence[str], found: dict[Pair, float | None]) -> DataFrame:
+    varies = _varies(df, columns)
+    cells = {(c, c): 1.0 if varies[c] else None for c in columns}
+    cells |= {p: r for (a, b), r in found.items() for p in ((a, b), (b, a))}
     data = [(a, b, cells[a, b]) for a in columns for b in columns]
     return df.sparkSession.createDataFrame(
         data, "column_a string, column_b string, correlation double"
@@ -66,47 +63,79 @@ def _matrix(df: DataFrame, columns: Sequence[str], prepare) -> DataFrame:
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:
     """The matrix in long form: (column_a, column_b, correlation)."""
-    return _matrix(df, list(columns), lambda rows, block: rows.select(*block))
+    return _matrix(df, columns, _correlated(df, _pairs(columns)))
+
+
+def _missing(c: str) -> Column:
+    return without_nan(F.col(c)).isNull()
+
+
+def _null_classes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
+    """For each column, the first column that is missing on the same rows; None
+    for a column that is never missing."""
+    row = df.agg(*[F.count_if(_missing(c)) for c in columns]).first()
+    counts = dict(zip(columns, row))
+    holed = [c for c in columns if counts[c]]
+    alike = [(a, b) for a, b in combinations(holed, 2) if counts[a] == counts[b]]
+    differ: dict[Pair, int] = {}
+    for at in range(0, len(alike), PAIRS_PER_PASS):
+        some = alike[at:at + PAIRS_PER_PASS]
+        row = df.agg(*[F.count_if(_missing(a) != _missing(b)) for a, b in some]).first()
+        differ |= dict(zip(some, row))
+    first: dict[str, str | None] = {c: None if not counts[c] else c for c in columns}
+    for (a, b), n in differ.items():
+        if n == 0 and first[b] == b:
+            first[b] = first[a]
+    return first
 
 
 def ranked_columns(df: DataFrame, columns: Sequence[str], key: str = CUSTOMER_ID) -> DataFrame:
-    """Each column replaced by its rank with ties averaged.
+    """Each column replaced by its rank with ties averaged, for a unique key.
 
-    Ranks are computed once per distinct value; the rank of a row is looked up
-    by value, so no column is sorted row by row.
+    Ranks are computed once per distinct value and found by (column, value) for
+    all columns together; a frequent value is left to the adaptive skew join.
     """
-    doubles = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    doubles = df.select(key, *[without_nan(F.col(c)).alias(c) for c in columns])
     long = doubles.unpivot([key], list(columns), "column", "value")
-    ranks = pin(average_rank(running_counts(long, ["value"], ["column"])), "ranks")
-    distinct = {r[0]: r[1] for r in ranks.groupBy("column").count().collect()}  # per column
-    ranked = doubles
-    for c in columns:
-        of_column = ranks.where(F.col("column") == c).select(
-            F.col("value").alias(c), "n", F.col("avg_rank").alias(f"{c}_rank")
-        )
-        ranked = attach_by_value(ranked, of_column, c, f"{c}_rank", [key],
-                                 distinct.get(c, 0))
-    return ranked.select(key, *[F.col(f"{c}_rank").alias(c) for c in columns])
+    ranks = pin(average_rank(running_counts(long, ["value"], ["column"])).select(
+        "column", "value", "avg_rank"), "ranks")
+    placed = long.join(ranks, ["column", "value"])
+    return placed.groupBy(key).pivot("column", list(columns)).agg(F.first("avg_rank"))
+
+
+def _rank_correlated(df: DataFrame, pairs: Sequence[Pair], key: str) -> dict[Pair, float | None]:
+    """Rank correlations; a pair is ranked over the rows that have both. Pairs
+    whose columns are missing on the same rows are ranked together."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    classes = _null_classes(df, columns)
+    blocks: dict[frozenset, list[Pair]] = {}
+    for a, b in pairs:
+        blocks.setdefault(frozenset({classes[a], classes[b]} - {None}), []).append((a, b))
+    found: dict[Pair, float | None] = {}
+    for holed, block in blocks.items():
+        used = list(dict.fromkeys(c for pair in block for c in pair))
+        rows = df
+        for c in holed:
+            rows = rows.where(~_missing(c))
+        found |= _correlated(pin(ranked_columns(rows, used, key), "ranked"), block)
+    return found
 
 
 def spearman_matrix(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS,
                     key: str = CUSTOMER_ID) -> DataFrame:
-    return _matrix(
-        df, list(columns), lambda rows, block: ranked_columns(rows, block, key).select(*block)
-    )
+    return _matrix(df, columns, _rank_correlated(df, _pairs(columns), key))
 
 
 def target_correlation(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS,
-                       target: str = TARGET_FLAG) -> DataFrame:
-    """Both correlations of every column with the target, strongest first."""
-    both = [
-        matrix(df, columns).where(F.col("column_b") == target)
-        .select(F.col("column_a").alias("column_name"), F.col("correlation").alias(name))
-        for name, matrix in (("pearson", pearson_matrix), ("spearman", spearman_matrix))
-    ]
-    return reduce(lambda a, b: a.join(b, "column_name"), both).orderBy(
-        F.col("pearson").desc_nulls_last(), "column_name"
-    )
+                       target: str = TARGET_FLAG, key: str = CUSTOMER_ID) -> DataFrame:
+    """Both correlations of every column with the target, strongest first. Only
+    the pairs with the target are computed."""
+    pairs = _pairs(columns, target)
+    pearson, spearman = _correlated(df, pairs), _rank_correlated(df, pairs, key)
+    own = 1.0 if _varies(df, [target])[target] else None
+    data = [(c, pearson.get((c, target), own), spearman.get((c, target), own)) for c in columns]
+    rows = df.sparkSession.createDataFrame(data, "column_name string, pearson double, spearman double")
+    return rows.orderBy(F.col("pearson").desc_nulls_last(), "column_name")
 
 
 def correlation_heatmap(df: DataFrame, columns: Sequence[str] = CORRELATION_COLUMNS) -> DataFrame:

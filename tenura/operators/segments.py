@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenura.functions.columns import customers, mean, total
+from tenura.functions.columns import customers, mean, total, without_nan
 from tenura.operators.percentiles import exact_percentiles
 from tenura.operators.ranking import metric_rank, null_safe, share_of_total, sort_by_rate
 from tenura.schema import (
@@ -34,7 +34,8 @@ def with_empty_labels(report: DataFrame, dim: str, zeros: Sequence[str],
     if not labels:
         return report
     every = report.sparkSession.createDataFrame([[x] for x in labels], f"`{dim}` string")
-    return every.join(report, dim, "full").select(*report.columns).na.fill(0, list(zeros))
+    report = every.join(report, dim, "full").select(*report.columns)
+    return report.na.fill(0, list(zeros)) if zeros else report
 
 
 def segment_analysis(df: DataFrame, dim: str, unique_ids: bool = False,
@@ -99,9 +100,9 @@ def business_query(df: DataFrame, dim: str, unique_ids: bool = False,
 
 
 def _summary_aggregates(metric: str) -> list:
-    value = F.col(metric).cast("double")
+    value = without_nan(F.col(metric))
     return [
-        F.count(metric).alias("count"),
+        F.count(value).alias("count"),
         total(metric).alias("sum"),
         mean(metric).alias("mean"),
         F.min(value).alias("min"),
@@ -132,7 +133,7 @@ def metric_summary(df: DataFrame, dim: str, metric: str, include_empty: bool = T
 
 
 def metric_summary_all(df: DataFrame, dims: Sequence[str] = METRIC_DIMS,
-                       metrics: Sequence[str] = METRICS) -> DataFrame:
+                       metrics: Sequence[str] = METRICS, include_empty: bool = True) -> DataFrame:
     """Every dimension by every metric in two passes over the table.
 
     Only the dimensions are unpivoted (each row once per dimension); the
@@ -150,6 +151,11 @@ def metric_summary_all(df: DataFrame, dims: Sequence[str] = METRIC_DIMS,
     report = report.join(medians, null_safe(report, medians, keys), "left").select(
         *[report[c] for c in [*keys, "count", "sum", "mean"]], "median", "min", "max", "std"
     )
+    labelled = [(d, x, m) for d in dims for x in CATEGORY_LABELS.get(d, ()) for m in metrics]
+    if include_empty and labelled:
+        every = df.sparkSession.createDataFrame(labelled, "dim string, dim_value string, metric string")
+        empty = every.join(report.select(*keys), keys, "left_anti")
+        report = report.unionByName(empty, allowMissingColumns=True).na.fill(0, ["count", "sum"])
     return _ranked(report, "dim", "metric")
 
 
@@ -160,9 +166,12 @@ def by_dimension(df: DataFrame, dims: Sequence[str], columns: Sequence[str]) ->
     )
 
 
-def churn_rate_by(df: DataFrame, dim: str) -> DataFrame:
-    """The series behind a churn bar chart."""
-    return sort_by_rate(df.groupBy(dim).agg(_churn_rate().alias("churn_rate")), "churn_rate", dim)
+def churn_rate_by(df: DataFrame, dim: str, include_empty: bool = True) -> DataFrame:
+    """The series behind a churn bar chart; a label without customers has no rate."""
+    report = df.groupBy(dim).agg(_churn_rate().alias("churn_rate"))
+    if include_empty:
+        report = with_empty_labels(report, dim, [])
+    return sort_by_rate(report, "churn_rate", dim)
 
 
 def crosstab_counts(df: DataFrame, dim: str, by: str = TARGET,

@@ -34,14 +34,25 @@ ONE_HOT_COLUMNS = {
     "gender": ["Female", "Male"],
 }
 CARD_FILTERS = {"Partner": ["Yes"], "Contract": ["Month-to-month", "One year"]}
-# The part of the forest grid that is searched by the registered query.
-SEARCHED_GRID = {
-    "trees": [100], "depth": [5, 8], "min_leaf": [1], "class_weight": [None, "balanced"],
-}
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: significant(c) for c in columns})
+    # Amounts in cents often lie halfway between two roundings; a nudge far above
+    # the noise and far below the last digit takes them to the same side everywhere.
+    return df.withColumns({c: significant(F.col(c) * (1 + NUDGE)) for c in columns})
+
+
+NUDGE = 1e-12
+# Sums and means of amounts: exact in the operators, but not in other engines.
+AMOUNTS = frozenset("""
+Avg_Monthly_Charges Avg_Total_Charges Avg_Tenure Revenue_Lost Annual_Revenue Avg_Monthly_Charge Avg_LTV
+monthly_revenue annual_revenue revenue_lost average_tenure average_monthly_charge average_ltv avg_monthly_charges
+sum mean
+""".split())
+
+
+def amounts(df: DataFrame) -> DataFrame:
+    return rounded(df, *[c for c in df.columns if c in AMOUNTS])
 
 
 def six_places(df: DataFrame, *columns: str) -> DataFrame:
@@ -202,16 +213,16 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     # reports, one entry per dimension the analysis uses
     for d in S.SEGMENT_DIMS:
         q[f"segment_analysis_{_slug(d)}"] = (
-            lambda w, d=d: segments.segment_analysis(w.features, d, w.unique_ids)
+            lambda w, d=d: amounts(segments.segment_analysis(w.features, d, w.unique_ids))
         )
         q[f"churn_rate_by_{_slug(d)}"] = lambda w, d=d: segments.churn_rate_by(w.features, d)
     for d in S.SUMMARY_DIMS:
         q[f"segment_summary_{_slug(d)}"] = (
-            lambda w, d=d: segments.segment_summary(w.features, d, w.unique_ids)
+            lambda w, d=d: amounts(segments.segment_summary(w.features, d, w.unique_ids))
         )
     for d in S.BUSINESS_DIMS:
         q[f"business_query_{_slug(d)}"] = (
-            lambda w, d=d: segments.business_query(w.features, d, w.unique_ids)
+            lambda w, d=d: amounts(segments.business_query(w.features, d, w.unique_ids))
         )
     for i, d in enumerate(S.METRIC_DIMS):
         m = S.METRICS[i % len(S.METRICS)]
@@ -229,8 +240,8 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
         q[f"contingency_counts_{_slug(d)}"] = (
             lambda w, d=d: segments.contingency_counts(w.features, d)
         )
-    q["core_kpis"] = lambda w: kpis.core_kpis(w.features, w.unique_ids)
-    q["business_report"] = lambda w: kpis.business_report(w.features, w.unique_ids)
+    q["core_kpis"] = lambda w: rounded(kpis.core_kpis(w.features, w.unique_ids), "value")
+    q["business_report"] = lambda w: amounts(kpis.business_report(w.features, w.unique_ids))
     q["probabilities"] = lambda w: rounded(kpis.probabilities(w.features), "value")
     q["class_distribution"] = lambda w: segments.class_distribution(w.features)
     q["distribution_stats"] = lambda w: _statistics(distribution.distribution_stats(w.features))
@@ -241,17 +252,23 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["sort_by_rate"] = lambda w: ranking.sort_by_rate(
         segments.churn_rate_by(w.features, "tenure"), "churn_rate", "tenure"
     )
-    q["metric_rank"] = lambda w: segments.metric_summary_all(
-        w.features, ["Contract", "PaymentMethod"], ["MonthlyCharges", "tenure"]
-    ).select("dim", "dim_value", "metric", "mean", "metric_rank")
-    q["share_of_total"] = lambda w: rounded(segments.metric_summary_all(
-        w.features, ["Contract", "PaymentMethod"], ["Annual_Revenue", "Revenue_Lost"]
-    ).select("dim", "dim_value", "metric", "sum", "share_of_total"), "share_of_total")
+    q["metric_rank"] = lambda w: amounts(segments.metric_summary_all(w.features).select(
+        "dim", "dim_value", "metric", "mean", "metric_rank"
+    ))
+    q["share_of_total"] = lambda w: rounded(segments.metric_summary_all(w.features).select(
+        "dim", "dim_value", "metric", "sum", "share_of_total"
+    ), "sum", "share_of_total")
+    q["churn_rate_by_empty_labels"] = lambda w: segments.churn_rate_by(
+        w.features.where("tenure <= 12"), "Tenure_Group"
+    )
+    q["metric_summary_all_empty_labels"] = lambda w: _summary(segments.metric_summary_all(
+        w.features.where("tenure <= 12"), ["Tenure_Group"], ["MonthlyCharges"]
+    ))
     q["average_rank"] = _average_rank
 
     # the SQL reports
     for name in sqlsuite.QUERIES:
-        q[name] = lambda w, name=name: _decimals_as_doubles(sqlsuite.run(name, w.subscribers))
+        q[name] = lambda w, name=name: amounts(_decimals_as_doubles(sqlsuite.run(name, w.subscribers)))
 
     # tests and correlation
     q["welch_t"] = lambda w: _welch(w, S.TEST_FEATURES)
@@ -309,7 +326,7 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
         w.predictions("logistic_regression")
     )
     q["stratified_cv"] = lambda w: validation.stratified_cv(w.features)
-    q["rf_grid_search"] = lambda w: validation.rf_grid_search(w.features, SEARCHED_GRID)
+    q["rf_grid_search"] = lambda w: validation.rf_grid_search(w.features)
     q["kmeans_sweep"] = lambda w: cluster.kmeans_sweep(w.features)
     q["kmeans_assign"] = lambda w: _clusters(w).select("customerID", "Customer_Cluster")
     q["cluster_summary"] = lambda w: segments.cluster_summary(_clusters(w), w.unique_ids)
@@ -323,8 +340,8 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["quality_report"] = lambda w: quality.quality_report(w.raw)
 
     # dashboard
-    q["kpi_cards"] = lambda w: kpis.kpi_cards(w.features, CARD_FILTERS, w.unique_ids)
-    q["kpi_cube"] = lambda w: kpis.kpi_cube(w.features, unique_ids=w.unique_ids)
+    q["kpi_cards"] = lambda w: amounts(kpis.kpi_cards(w.features, CARD_FILTERS, w.unique_ids))
+    q["kpi_cube"] = lambda w: amounts(kpis.kpi_cube(w.features, unique_ids=w.unique_ids))
     q["churn_by_tenure_month"] = lambda w: kpis.churn_by_tenure_month(w.features)
     q["customers_by_contract"] = lambda w: kpis.customers_by(w.features, "Contract", w.unique_ids)
     q["customers_by_seniorcitizen"] = (
@@ -337,11 +354,11 @@ _FENCES = ("Q1", "Q3", "IQR", "Lower_Bound", "Upper_Bound")
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    return six_places(rounded(df, "std", "share_of_total"), "median")
+    return six_places(rounded(df, "sum", "mean", "std", "share_of_total"), "median")
 
 
 def _statistics(df: DataFrame) -> DataFrame:
-    moments = rounded(df, "std", "variance", "skew", "kurtosis")
+    moments = rounded(df, "mean", "std", "variance", "skew", "kurtosis")
     return six_places(moments, "median", "q1", "q2", "q3", "range", "iqr")
 
 

@@ -82,8 +82,8 @@ def on_features(select: str, more: str = "") -> str:
 
 
 def sig(expression: str) -> str:
-    """Ten significant digits."""
-    return f"(CAST(printf('%.9e', CAST({expression} AS DOUBLE)) AS DOUBLE) + 0.0E0)"
+    """Ten significant digits, with halfway cases nudged up."""
+    return f"(CAST(printf('%.9e', CAST({expression} AS DOUBLE) * 1.000000000001E0) AS DOUBLE) + 0.0E0)"
 
 
 def six_places(expression: str) -> str:
@@ -97,15 +97,11 @@ def eight_places(expression: str) -> str:
 
 
 def total(c: str) -> str:
-    return f"COALESCE({_sum(c)}, 0.0E0)"
+    return sig(f"COALESCE(SUM(CAST({c} AS DOUBLE)), 0)")
 
 
 def mean(c: str) -> str:
-    return f"{_sum(c)} / COUNT({c})"
-
-
-def _sum(c: str) -> str:
-    return f"CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)"
+    return sig(f"AVG(CAST({c} AS DOUBLE))")
 
 
 _RATE = "AVG(Churn_Flag) * 100"
@@ -146,12 +142,12 @@ FROM feat GROUP BY {d} ORDER BY churn_rate DESC NULLS LAST, {d}""")
 
 def _metric_summary(d: str, m: str) -> str:
     return on_features(f"""
-SELECT {d}, "count", "sum", "mean", median, "min", "max", std,
+SELECT {d}, "count", {sig('"sum"')} AS "sum", {sig('"mean"')} AS "mean", median, "min", "max", std,
        {sig('"sum" / SUM("sum") OVER ()')} AS share_of_total,
        CASE WHEN "mean" IS NOT NULL
             THEN DENSE_RANK() OVER (ORDER BY "mean" DESC NULLS LAST)::INT END AS metric_rank
 FROM g""", f""", g AS (
-  SELECT {d}, COUNT({m}) AS "count", {total(m)} AS "sum", {mean(m)} AS "mean",
+  SELECT {d}, COUNT({m}) AS "count", COALESCE(SUM(CAST({m} AS DOUBLE)), 0) AS "sum", AVG(CAST({m} AS DOUBLE)) AS "mean",
          {six_places(f'quantile_cont(CAST({m} AS DOUBLE), 0.5)')} AS median,
          CAST(MIN({m}) AS DOUBLE) AS "min", CAST(MAX({m}) AS DOUBLE) AS "max",
          {sig(f'stddev_samp({m})')} AS std
@@ -167,13 +163,14 @@ def _metric_summaries(dims: list[str], metrics: list[str], columns: str) -> str:
     )
     return on_features(f"""
 SELECT {columns} FROM (
-  SELECT *, {sig('"sum" / SUM("sum") OVER (PARTITION BY dim, metric)')} AS share_of_total,
+  SELECT * REPLACE ({sig('"sum"')} AS "sum", {sig('"mean"')} AS "mean"),
+         {sig('"sum" / SUM("sum") OVER (PARTITION BY dim, metric)')} AS share_of_total,
          CASE WHEN "mean" IS NOT NULL THEN DENSE_RANK() OVER (
            PARTITION BY dim, metric ORDER BY "mean" DESC NULLS LAST)::INT END AS metric_rank
   FROM g)""", f""", pairs AS (
   {parts}
 ), g AS (
-  SELECT dim, dim_value, metric, COUNT(v) AS "count", {total('v')} AS "sum", {mean('v')} AS "mean",
+  SELECT dim, dim_value, metric, COUNT(v) AS "count", COALESCE(SUM(v), 0) AS "sum", AVG(v) AS "mean",
          {six_places('quantile_cont(v, 0.5)')} AS median, MIN(v) AS "min", MAX(v) AS "max",
          {sig('stddev_samp(v)')} AS std
   FROM pairs GROUP BY dim, dim_value, metric
@@ -247,10 +244,10 @@ def _kpis() -> str:
         "Average Monthly Charge": mean("MonthlyCharges"),
         "Average Tenure": mean("tenure"),
         "Average Estimated LTV": mean("Estimated_LTV"),
-        "ARPU": f"{total('MonthlyCharges')} / COUNT(DISTINCT customerID)",
+        "ARPU": "SUM(MonthlyCharges) / COUNT(DISTINCT customerID)",
     }
     return on_features(_union([
-        f"SELECT '{name}' AS kpi, CAST({f} AS DOUBLE) AS value FROM feat"
+        f"SELECT '{name}' AS kpi, {sig(f)} AS value FROM feat"
         for name, f in figures.items()
     ]))
 
@@ -541,6 +538,10 @@ def _features() -> dict[str, str]:
     }
 
 
+def _label_rows(dim: str) -> str:
+    return ", ".join(f"('{label}')" for label in S.CATEGORY_LABELS[dim])
+
+
 def _reports() -> dict[str, str]:
     q = {}
     for d in S.SEGMENT_DIMS:
@@ -560,14 +561,27 @@ def _reports() -> dict[str, str]:
     q |= {f"mann_whitney_{f}": _mann_whitney([f]) for f in S.TEST_FEATURES}
     q |= {f"chi_square_{d}": _chi_square([d]) for d in S.CHI_SQUARE_DIMS}
     q = {name.lower(): text for name, text in q.items()}
-    two = ["Contract", "PaymentMethod"]
     q |= {
         "chart_table_sink": _churn_rate_by("Contract"),
         "metric_summary_all": _metric_summaries(S.METRIC_DIMS, S.METRICS, "*"),
-        "metric_rank": _metric_summaries(two, ["MonthlyCharges", "tenure"],
+        "metric_rank": _metric_summaries(S.METRIC_DIMS, S.METRICS,
                                          'dim, dim_value, metric, "mean", metric_rank'),
-        "share_of_total": _metric_summaries(two, ["Annual_Revenue", "Revenue_Lost"],
+        "share_of_total": _metric_summaries(S.METRIC_DIMS, S.METRICS,
                                             'dim, dim_value, metric, "sum", share_of_total'),
+        "churn_rate_by_empty_labels": on_features(f"""
+SELECT Tenure_Group, AVG(Churn_Flag) * 100 AS churn_rate
+FROM (VALUES {_label_rows('Tenure_Group')}) every(Tenure_Group)
+LEFT JOIN (SELECT Tenure_Group, Churn_Flag FROM feat WHERE tenure <= 12) USING (Tenure_Group)
+GROUP BY Tenure_Group"""),
+        "metric_summary_all_empty_labels": on_features(f"""
+SELECT 'Tenure_Group' AS dim, Tenure_Group AS dim_value, 'MonthlyCharges' AS metric, COUNT(v) AS "count",
+       {sig('COALESCE(SUM(v), 0)')} AS "sum", {sig('AVG(v)')} AS "mean", {six_places('quantile_cont(v, 0.5)')} AS median,
+       MIN(v) AS "min", MAX(v) AS "max", {sig('stddev_samp(v)')} AS std,
+       {sig('COALESCE(SUM(v), 0) / SUM(COALESCE(SUM(v), 0)) OVER ()')} AS share_of_total,
+       CASE WHEN AVG(v) IS NOT NULL THEN DENSE_RANK() OVER (ORDER BY AVG(v) DESC NULLS LAST)::INT END AS metric_rank
+FROM (VALUES {_label_rows('Tenure_Group')}) every(Tenure_Group)
+LEFT JOIN (SELECT Tenure_Group, MonthlyCharges AS v FROM feat WHERE tenure <= 12) USING (Tenure_Group)
+GROUP BY Tenure_Group"""),
         "crosstab_fraction": _crosstab("Contract", "1.0E0", ("retained", "churned"),
                                        "Churn_Flag = 1"),
         "core_kpis": _kpis(),
@@ -603,7 +617,7 @@ FROM feat WHERE MonthlyCharges IS NOT NULL"""),
 
 def _sql_reports() -> dict[str, str]:
     exact = "CAST(TRY_CAST(TotalCharges AS DECIMAL(10,2)) AS DOUBLE) AS TotalCharges"
-    revenue = "CAST(SUM(CAST(MonthlyCharges AS DECIMAL(18,2))) AS DOUBLE)"
+    revenue = sig("SUM(MonthlyCharges)")
     return {name: on_raw(text) for name, text in {
         "sql_scan_all": f"SELECT {RAW} FROM subscribers",
         "sql_cast_in_predicate": f"SELECT customerID, {_CHURNED} AS churned FROM subscribers",
@@ -616,7 +630,7 @@ SELECT COUNT(DISTINCT customerID) AS total_customers,
 FROM subscribers""",
         "sql_churn_by_contract": f"""
 SELECT Contract, COUNT(*) AS customers, CAST(SUM({_CHURNED}) AS BIGINT) AS churned_customers,
-       {_SQL_RATE} AS churn_rate, ROUND({revenue} / COUNT(MonthlyCharges), 2) AS avg_monthly_charges,
+       {_SQL_RATE} AS churn_rate, ROUND(AVG(MonthlyCharges), 2) AS avg_monthly_charges,
        {revenue} AS monthly_revenue
 FROM subscribers GROUP BY Contract ORDER BY churn_rate DESC, Contract""",
         "sql_churn_by_payment": f"""

@@ -155,11 +155,3 @@ ML_EXCLUDED = [
     "customerID", "Churn", "Churn_Flag", "Revenue_Lost", "Annual_Revenue", "Estimated_LTV",
     "Customer_Value_Band", "Tenure_Group", "MonthlyCharge_Group", "SeniorCitizen_Label",
 ]
-
-# Decimal places at which sums are taken exactly, so that a total does not
-# depend on how rows are partitioned. A column not listed is summed as a double.
-DECIMAL_PLACES = {
-    "MonthlyCharges": 2, "TotalCharges": 2, "Annual_Revenue": 2, "Revenue_Lost": 2,
-    "Estimated_LTV": 2, "tenure": 0, "Service_Count": 0, "Support_Count": 0,
-    "Streaming_Count": 0,
-}

@@ -112,3 +112,9 @@ def test_csv_round_trip(spark, work, tmp_path):
     source.write_csv(work.subscribers, str(tmp_path / "csv"))
     back = source.read_csv(spark, str(tmp_path / "csv"))
     assert back.exceptAll(work.subscribers).isEmpty() and back.count() == work.subscribers.count()
+
+
+def test_numbers_are_read_tolerantly(spark):
+    df = spark.createDataFrame([("NaN", "12.0"), (" ", "12.5"), ("abc", "NaN"), ("7.5", "9999999999"), (None, "-3")], "d string, i string")
+    got = clean.coerce_numbers(df, {"d": "double", "i": "int"}).collect()
+    assert [r.d for r in got] == [None, None, None, 7.5, None] and [r.i for r in got] == [12, None, None, None, -3]

@@ -63,6 +63,23 @@ def test_split_is_exact_disjoint_and_stable(features, parts):
     assert again.select("customerID").exceptAll(test.select("customerID")).isEmpty()
 
 
+def test_small_classes_lose_no_row(spark):
+    rows = [(f"a{i}", 0) for i in range(50)] + [("b1", 1), ("b2", 1), ("c", 2), ("n", None)] + [(f"d{i}", 3) for i in range(3)]
+    df = spark.createDataFrame(rows, "customerID string, Churn_Flag int")
+    train, test = prep.stratified_split(df)
+    assert train.count() + test.count() == len(rows) and test.where("Churn_Flag = 0").count() == 10
+    assert test.where("Churn_Flag = 3").count() == 1 and train.where("Churn_Flag IS NULL").count() == 1
+    folds = prep.stratified_folds(df, 5).collect()
+    assert {r.fold for r in folds} == set(range(5)) and len(folds) == len(rows)
+    empty = prep.stratified_split(df.limit(0))
+    assert [part.count() for part in empty] == [0, 0]
+
+
+def test_layout_does_not_depend_on_the_pieces(planted):
+    layouts = [prep.spread(planted.repartition(n), "customerID", 5).withColumn("p", F.spark_partition_id()) for n in (1, 7)]
+    assert layouts[0].collect() == layouts[1].collect()
+
+
 def test_folds_are_stratified_within_one_row(features):
     rows = prep.stratified_folds(features, 5).groupBy("Churn_Flag", "fold").count().collect()
     for k in (0, 1):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenura import schema as S
+from tenura.functions.columns import mean, total
 from tenura.operators import kpis, profile, quality, segments
 
 
@@ -65,6 +66,35 @@ def test_all_summaries_equal_the_single_ones(features):
     assert all(r.s == pytest.approx(1) for r in shares)
 
 
+def test_all_summaries_have_the_empty_labels_of_the_single_ones(features):
+    cheap = features.where("tenure <= 12 AND MonthlyCharges <= 60")
+    together = segments.metric_summary_all(cheap)
+    singles = None
+    for d in S.METRIC_DIMS:
+        rows = cheap.where(F.lit(True))
+        one = segments.metric_summary(rows, d, "tenure").withColumnRenamed(d, "dim_value")
+        one = one.select(F.lit(d).alias("dim"), F.col("dim_value").cast("string"), "count", "sum", "metric_rank")
+        singles = one if singles is None else singles.unionByName(one)
+    part = together.where("metric = 'tenure'").select(*singles.columns)
+    assert sorted(map(str, part.collect())) == sorted(map(str, singles.collect()))
+    rates = {r[0]: r[1] for r in segments.churn_rate_by(cheap, "Tenure_Group").collect()}
+    assert set(rates) == set(S.BINS["Tenure_Group"][2]) and rates["61-72"] is None
+    assert len(segments.churn_rate_by(cheap, "Tenure_Group", include_empty=False).collect()) == 1
+
+
+def test_sums_and_means_are_exact(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("few", 0.004), ("few", 0.004), ("few", 10.125), ("nan", nan), ("nan", 5.0), ("nan", None),
+            ("large", 1e300), ("large", 1e25), ("tiny", 1e-15), ("tiny", 2e-15), ("inf", inf), ("inf", 1.0), ("none", nan)]
+    got = {r.k: (r.total, r.mean) for r in spark.createDataFrame(rows, "k string, v double").groupBy("k").agg(
+        total("v").alias("total"), mean("v").alias("mean")).collect()}
+    assert got["few"] == (10.133, pytest.approx(10.133 / 3)) and got["nan"] == (5.0, 5.0)
+    assert got["large"] == (1e300, 5e299) and got["tiny"] == (pytest.approx(3e-15), pytest.approx(1.5e-15))
+    assert got["inf"] == (inf, inf) and got["none"] == (0.0, None)
+    summary = segments.metric_summary(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()
+    assert {r.k: r["count"] for r in summary}["nan"] == 1
+
+
 def test_single_row_and_all_null_groups(spark):
     df = spark.createDataFrame(
         [("one", 4.0), ("none", None), ("none", None)], "k string, v double"

@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal, getcontext
 
 import numpy as np
 import pytest
@@ -27,6 +28,49 @@ def test_tail_identities():
     assert special.t_two_sided(2.5, 1e8) == pytest.approx(special.normal_two_sided(2.5), rel=1e-6)
 
 
+def even_degrees(t, df):
+    """The two-sided tail for an even number of degrees, a finite sum."""
+    getcontext().prec = 50
+    square = Decimal(t) ** 2 / df
+    term = total = Decimal(1)
+    for i in range(1, df // 2):
+        term *= (2 * i - 1) / (Decimal(2 * i) * (1 + square))
+        total += term
+    return float(1 - (square / (1 + square)).sqrt() * total)
+
+
+@pytest.mark.parametrize("df", [10, 500, 2998, 3000, 40_000])
+def test_t_tail_is_exact(df):
+    for t in (0.3, 1.96, 6.0):
+        assert special.t_two_sided(t, df) == pytest.approx(even_degrees(t, df), rel=1e-11)
+
+
+def test_t_tail_at_many_degrees():
+    for df in (1e10, 1e12):
+        density = math.exp(-1.96**2 / 2) / math.sqrt(2 * math.pi)
+        expected = special.normal_two_sided(1.96) + 2 * density * (1.96**3 + 1.96) / (4 * df)
+        assert special.t_two_sided(1.96, df) == pytest.approx(expected, rel=1e-14)
+
+
+def test_no_unconverged_value_is_returned():
+    with pytest.raises(ArithmeticError):
+        special.beta_tail(0.5, 1e13, 1e13)
+
+
+def test_many_columns_with_nulls(spark):
+    rng = np.random.default_rng(4)
+    values = rng.random((60, 70)).round(2)
+    rows = [(str(i), *[None if c % 9 == 5 and i % 7 == c % 2 else float(v) for c, v in enumerate(r)]) for i, r in enumerate(values)]
+    names = [f"c{i}" for i in range(70)]
+    df = spark.createDataFrame(rows, "customerID string, " + ", ".join(f"{n} double" for n in names))
+    for method, build, some in (("pearson", correlation.pearson_matrix, names), ("spearman", correlation.spearman_matrix, names[:15])):
+        got = build(df, some).toPandas().pivot(index="column_a", columns="column_b", values="correlation").loc[some, some]
+        assert np.allclose(got.to_numpy(), df.toPandas()[some].corr(method=method).to_numpy(), atol=1e-12)
+    target = correlation.target_correlation(df, names[:15], "c5").collect()
+    wanted = df.toPandas()[names].corr(method="spearman")["c5"]
+    assert all(r.spearman == pytest.approx(wanted[r.column_name]) for r in target)
+
+
 def test_welch(features):
     pdf = features.toPandas()
     a, b = (pdf.loc[pdf.Churn_Flag == k, "tenure"] for k in (1, 0))
