@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -28,18 +29,23 @@ HEADLINE = [
     "core_kpis", "kpi_cube", "probabilities", "distribution_stats", "sql_churn_by_contract",
     "sql_risk_ranking", "sql_top_churned", "profile_describe", "quality_report", "welch_t",
     "mann_whitney", "chi_square", "pearson_matrix", "spearman_matrix", "iqr_outliers",
-    "stratified_split", "logistic_regression", "decision_tree", "kmeans_assign", "pca_variance",
+    "target_correlation", "stratified_split", "logistic_regression", "decision_tree", "kmeans_assign", "pca_variance",
 ]
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="bench-") as shared:
+        timed_run(shared)
+
+
+def timed_run(shared: str) -> None:
     data = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "*")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", shared)
         # The tables are small: let even 64 KB of shuffled data keep its own task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         # No call-site capture for every column expression.

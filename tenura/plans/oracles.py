@@ -663,13 +663,19 @@ def _model_inputs() -> dict[str, str]:
         *S.RAW_COLUMNS, "Tenure_Year", "Service_Count", "Support_Count", "Streaming_Count",
         *S.EQUALITY_FLAGS, "Tenure_Segment", "Charge_Segment", "Risk_Segment",
     ] if c not in S.ML_EXCLUDED]
+    numeric = [c for c in used if c in ("SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "Tenure_Year",
+                                        "Service_Count", "Support_Count", "Streaming_Count", *S.EQUALITY_FLAGS)]
+    text = [c for c in used if c not in numeric]
     medians = ", ".join(
-        f"COALESCE(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM n)) "
-        f"AS {c}" for c in ("tenure", "MonthlyCharges", "TotalCharges")
+        f"COALESCE(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM feat)) "
+        f"AS {c}" for c in numeric
     )
     modes = ", ".join(
         f"COALESCE({c}, (SELECT {c} FROM h WHERE {c} IS NOT NULL GROUP BY {c} "
-        f"ORDER BY COUNT(*) DESC, {c} LIMIT 1)) AS {c}" for c in ("MultipleLines", "TechSupport")
+        f"ORDER BY COUNT(*) DESC, {c} LIMIT 1)) AS {c}" for c in text
+    )
+    holed = ", ".join(
+        f"CASE WHEN {c} NOT IN ('No phone service', 'No internet service') THEN {c} END AS {c}" for c in text
     )
     scaled = ", ".join(
         f"ROUND((CAST({c} AS DOUBLE) - AVG({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}"
@@ -689,14 +695,9 @@ def _model_inputs() -> dict[str, str]:
         "ml_feature_frame": on_features(
             f"SELECT customerID, Churn_Flag, {', '.join(used)} FROM feat"
         ),
-        "impute_median": on_raw(
-            f"SELECT customerID, {medians} FROM n",
-            f", n AS (SELECT * REPLACE ({_NUMBERS} AS TotalCharges) FROM subscribers)",
-        ),
-        "impute_mode": on_raw(
-            f"SELECT customerID, {modes} FROM h",
-            ", h AS (SELECT customerID, NULLIF(MultipleLines, 'No phone service') AS MultipleLines,"
-            " NULLIF(TechSupport, 'No internet service') AS TechSupport FROM subscribers)",
+        "impute_median": on_features(f"SELECT customerID, {medians} FROM feat"),
+        "impute_mode": on_features(
+            f"SELECT customerID, {modes} FROM h", f", h AS (SELECT customerID, {holed} FROM feat)"
         ),
         "standard_scale": on_features(f"SELECT customerID, {scaled} FROM feat"),
         "one_hot": on_features(f"SELECT customerID, {onehot} FROM feat"),
