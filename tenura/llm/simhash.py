@@ -140,7 +140,7 @@ def _keyed(prints: DataFrame, size: int) -> DataFrame:
     return map_batches(prints.select("node", "found", "verified"), task, "key bigint, node bigint, verified binary")
 
 
-def _links(dealt: DataFrame, size: int, max_distance: int) -> DataFrame:
+def print_links(dealt: DataFrame, size: int, max_distance: int) -> DataFrame:
     """Tree edges (a, b) over the links in each group: at most one per row."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +190,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                        F.min("id").alias("smallest"))
     nodes = pin(nodes, f"{name}-nodes")
     dealt = in_blocks(_keyed(nodes, find.size), ["key"], "node", BLOCK, f"{name}-large")
-    edges = pin(_links(dealt, verify.size, max_distance), f"{name}-links")
+    edges = pin(print_links(dealt, verify.size, max_distance), f"{name}-links")
+    return name_groups(prints, nodes, edges, name).select(
+        "id", F.lpad(F.lower(F.hex("first")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def name_groups(prints: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``prints`` with the component_id of each row: the smallest id of all nodes that ``edges`` join."""
     roots = connected_components(edges, f"{name}-components")
     member = nodes.select("node", "smallest").join(roots, F.col("node") == F.col("id"), "left")
     member = pin(member.select("node", "smallest", F.coalesce("component", "node").alias("root")), f"{name}-roots")
     smallest = member.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = pin(member.join(smallest, "root").select("node", "component_id"), f"{name}-named")
-    return prints.join(named, "node").select("id", F.lpad(F.lower(F.hex("first")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named, "node")
 
 
 def op1_simhash_dedup(spark, data_dir: str) -> DataFrame:
