@@ -84,7 +84,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def permute_text(text: Column, radix: int, key: str, tweak: str, inverse: bool = False) -> Column:
-    """Permutation of the texts of equal length (2 to 18) over the first ``radix``
+    """Permutation of the texts of equal length (2 to 20) over the first ``radix``
     digits of 0-9a-z; of length 1 by a keyed shift."""
     def halves(x: Column) -> Column:
         n = F.length(x)
@@ -97,7 +97,7 @@ def permute_text(text: Column, radix: int, key: str, tweak: str, inverse: bool =
             digits = number.cast("string") if radix == 10 else F.lower(F.conv(number.cast("string"), 10, radix))
             return F.lpad(digits, size, "0")
 
-        power = F.array(*(F.lit(radix**i) for i in range(10)))
+        power = F.array(*(F.lit(radix**i) for i in range(11)))
         sizes = (F.element_at(power, cut + 1), F.element_at(power, n - cut + 1))
         mixed = F.concat(F.lit(f"{tweak}{radix}:"), n.cast("string"))
         moved = feistel(F.when(cut > 0, numeral(F.substr(x, F.lit(1), cut))).otherwise(0),

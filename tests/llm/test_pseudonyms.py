@@ -78,6 +78,20 @@ def test_permutations_are_one_to_one(spark):
         assert texts.select(permute_text(F.col("t"), 10, "k", "t").alias("n")).distinct().count() == 10**size
 
 
+def test_long_phone_numbers(spark):
+    numbers = ["+" + "4915112345678901234567"[:n] for n in range(15, 21)] + ["+491 5112 3456 7890 1234", "+491-5112-3456-7890-123"]
+    found = run(spark, [f"call {n} now" for n in numbers])
+    for number, new in zip(numbers, found):
+        if number == "+" + "4915112345678901234567"[:20]:  # longer than the format
+            assert new == f"call {number} now"
+        else:
+            assert number not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {number} now")
+    spaced = [n for n in numbers if " " in n or "-" in n]
+    assert run(spark, run(spark, spaced), inverse=True) == spaced
+    texts = spark.createDataFrame([(f"{i:03d}" + "7" * 17,) for i in range(1000)], "t string")
+    assert texts.select(permute_text(F.col("t"), 10, "k", "t").alias("n")).distinct().count() == 1000
+
+
 def test_query_is_native_and_whole(spark):
     df = op7_pseudonyms(spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
