@@ -2,11 +2,12 @@
 
 A page is read once into blocks: text between block-level tags, with its words,
 stop words, link characters and place. Parts that their element, role or class
-names as page furniture (menus, footers, adverts, comments, ...) give no block.
+names as page furniture (menus, footers, adverts, comments, ...) give no block;
+forms and class names only where the main text is not within them.
 Pass one judges each block by itself: link density, length and stop-word
 density make it text, furniture or undecided. In pass two an undecided block
-takes the label of its nearest decided neighbours. If the page has an article
-or main element, only blocks within it are judged, and length and stop words
+takes the label of its nearest decided neighbours. If the page has one article
+or a main element that holds most of its text, only blocks within it are judged; length and stop words
 can only speak for a block there, not against it.
 """
 
@@ -46,9 +47,9 @@ EMPTY = frozenset("area base br col embed hr img input link meta param source tr
 INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q
 ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr""".split())
 LANDMARKS = frozenset(["article", "main"])
-FURNITURE_TAGS = frozenset("""nav footer aside form button select option fieldset menu dialog object audio video
+FURNITURE_TAGS = frozenset("""nav footer aside button select option fieldset menu dialog object audio video
 canvas head""".split())
-FURNITURE_ROLES = frozenset("""navigation banner contentinfo complementary search form dialog alertdialog alert menu
+FURNITURE_ROLES = frozenset("""navigation banner contentinfo complementary search dialog alertdialog alert menu
 menubar toolbar""".split())
 FURNITURE_NAMES = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs footer foot sidebar aside notice
 notices notification cookie cookies consent gdpr alert ad ads adv advert adverts advertisement advertising adsense
@@ -57,6 +58,7 @@ recommended newsletter subscribe subscription signup login popup modal overlay w
 disclaimer skip tags toc outbrain taboola""".split())
 WEAK_NAMES = frozenset("header head masthead banner topbar toolbar search".split())
 CONTENT_NAMES = frozenset("article post entry content main story body text title headline".split())
+NEUTRAL_NAMES = frozenset("site page list area box wrap wrapper container inner outer block bar section links primary secondary top bottom left right".split())
 ENDED_BY_BLOCK = frozenset(["p"])
 
 COMMENT = re.compile(r"--!?>")
@@ -70,7 +72,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Block:
     text: list[str] = field(default_factory=list)
     linked: int = 0
-    landmark: bool = False
+    landmark: int = 0  # number of the outermost article or main
+    doubtful: tuple[int, ...] = ()  # numbers of the forms and named elements around it
     heading: bool = False
     label: int = UNKNOWN
 
@@ -91,9 +94,7 @@ def is_furniture(tag: str, attributes: str, in_landmark: bool) -> bool:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = set(NAMES.findall(CAMEL.sub(" ", value).lower()))
-            if words & FURNITURE_NAMES or words & WEAK_NAMES and not words & CONTENT_NAMES:
-                return True
+            continue
         elif name == "role":
             if value.lower() in FURNITURE_ROLES:
                 return True
@@ -104,19 +105,40 @@ def is_furniture(tag: str, attributes: str, in_landmark: bool) -> bool:
     return False
 
 
+def is_doubtful(tag: str, attributes: str) -> bool:
+    """Is it a form, or is a whole class or id word a name of furniture?"""
+    if tag == "form":
+        return True
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        value = a or b or c
+        if name.lower() == "role" and value.lower() == "form":
+            return True
+        if name.lower() in ("class", "id"):
+            tokens = [set(NAMES.findall(CAMEL.sub(" ", t).lower())) for t in value.split()]
+            weak = frozenset() if any(t & CONTENT_NAMES for t in tokens) else WEAK_NAMES
+            if any(t & (FURNITURE_NAMES | weak) and t <= FURNITURE_NAMES | weak | NEUTRAL_NAMES for t in tokens):
+                return True
+    return False
+
+
 class Reader:
-    """Blocks of one page. ``open`` holds (tag, furniture, landmark, heading)."""
+    """Blocks of one page. ``open`` holds (tag, furniture, landmark, heading, doubtful)."""
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.block = Block()
-        self.open: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
+        self.forms: list[bool] = []  # of the doubtful elements, by number
+        self.regions, self.mains = 0, set()
+        self.holds_main, self.holds_article = set(), set()
         self.anchors = 0
 
     def end_block(self) -> None:
         if any(not t.isspace() for t in self.block.text):
             self.blocks.append(self.block.close())
-        self.block = Block(landmark=self.open[-1][2], heading=self.open[-1][3])
+        self.block = Block(landmark=self.open[-1][2], heading=self.open[-1][3], doubtful=self.open[-1][4])
 
     def text(self, raw: str) -> None:
         if raw and not self.open[-1][1]:
@@ -140,11 +162,21 @@ class Reader:
         if tag in EMPTY:
             self.end_block() if tag == "hr" else None
             return
-        _, furniture, landmark, heading = self.open[-1]
-        furniture = furniture or is_furniture(tag, attributes, landmark)
-        landmark = landmark or tag in LANDMARKS or tag == "div" and 'role="main"' in attributes
+        _, furniture, landmark, heading, doubtful = self.open[-1]
+        furniture = furniture or is_furniture(tag, attributes, bool(landmark))
+        if not furniture and is_doubtful(tag, attributes):
+            doubtful = (*doubtful, len(self.forms))
+            self.forms.append(tag == "form")
+        main = tag == "main" or tag == "div" and 'role="main"' in attributes
+        if not furniture and (main or tag in LANDMARKS) and not landmark:
+            self.regions += 1
+            landmark = self.regions
+            self.holds_article.update(doubtful)
+        if main and not furniture:
+            self.mains.add(landmark)
+            self.holds_main.update(doubtful)
         heading = heading or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        self.open.append((tag, furniture, landmark, heading))
+        self.open.append((tag, furniture, landmark, heading, doubtful))
         if tag == "a":
             self.anchors += 1
         if not inline:
@@ -166,8 +198,26 @@ class Reader:
         del self.open[at:]
 
 
-def blocks_of(html: str) -> list[Block]:
-    """All blocks of a page that no element marks as furniture, in order."""
+def spared(reader: Reader) -> list[Block]:
+    """The blocks without those in doubtful elements. A doubtful element stays if it
+    holds main; a form also if it holds an article or text; and any that holds an
+    article or text if there is neither outside."""
+    kept = reader.holds_main | {n for n in reader.holds_article if reader.forms[n]}
+    for block in reader.blocks:
+        if judge(block, False) == TEXT:
+            kept.update(n for n in block.doubtful if reader.forms[n])
+    outside = [b for b in reader.blocks if kept.issuperset(b.doubtful)]
+    if not any(b.landmark or judge(b, False) == TEXT for b in outside):
+        kept |= reader.holds_article
+        for block in reader.blocks:
+            if judge(block, not outside) == TEXT:
+                kept.update(block.doubtful)
+    return [b for b in reader.blocks if kept.issuperset(b.doubtful)]
+
+
+def blocks_of(html: str) -> tuple[list[Block], set[int]]:
+    """The blocks of a page that aren't furniture by their elements, in order, and
+    the numbers of its main regions."""
     reader, at, size = Reader(), 0, len(html)
     while at < size:
         mark = html.find("<", at)
@@ -199,7 +249,7 @@ def blocks_of(html: str) -> list[Block]:
             reader.text("<")
             at = mark + 1
     reader.end_block()
-    return reader.blocks
+    return spared(reader), reader.mains
 
 
 def judge(block: Block, in_landmark: bool) -> int:
@@ -223,11 +273,14 @@ def main_blocks(html: str) -> list[str]:
     the nearer one, text on a tie; a heading looks only forward, if anything
     follows. If no block is text by its stop words, they are left out; a page
     on which nothing is decided is text throughout."""
-    blocks = blocks_of(html)
+    blocks, mains = blocks_of(html)
     inside = [b for b in blocks if b.landmark]
-    blocks = inside or blocks
+    beside = sum(len(b.joined) for b in blocks if not b.landmark and judge(b, False) == TEXT)
+    regions = {b.landmark for b in inside}
+    if (len(regions) == 1 or regions & mains) and beside <= sum(len(b.joined) for b in inside):
+        blocks = inside
     for block in blocks:
-        block.label = judge(block, bool(inside))
+        block.label = judge(block, bool(block.landmark))
     if all(b.label != TEXT for b in blocks):
         for block in blocks:  # a language without a list: only links speak against a block
             block.label = judge(block, True)

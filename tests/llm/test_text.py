@@ -45,6 +45,17 @@ def test_markup(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content-sidebar-wrap'><p>{}</p></div>", "<div class='layout has-sidebar'><article><p>{}</p></article></div>",
+    "<article class='post comments-open'><p>{}</p></article>", "<article class='post tag-social'><p>{}</p></article>",
+    "<form action=x><div><p>{}</p></div></form>", "<div class=sidebar><main><p>{}</p></main></div>",
+    "<div class=sidebar><p>{}</p></div>", "<div><p>{}</p></div><article><a href=1>More of this</a></article>",
+    "<p>{}</p><div class='comments'><p>" + LONG + "</p></div>",
+])
+def test_wrappers_keep_their_text(page):
+    assert main_text(page.format(LONG * 2)) == (LONG * 2).strip()
+
+
 def test_two_passes_without_landmark():
     links = "<div><a href=1>" + "some linked words " * 5 + "</a></div>"
     page = f"{links}<p>near links</p>{links}<h2>Title</h2><p>{LONG * 2}</p><p>short</p><p>{LONG * 2}</p>{links}<p>end</p>{links}"
