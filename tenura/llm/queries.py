@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tenura.llm.alignment import op11_token_alignment
 from tenura.llm.embed_dedup import op3_embedding_dedup
 from tenura.llm.fixity import OP9_SQL, op9_warc_fixity
 from tenura.llm.html_text import op4_html_text
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES = [
     op1_simhash_dedup, op2_exact_top_k, op3_embedding_dedup, op4_html_text, op5_language_id,
     op6_quality, op7_pseudonyms, op8_packing, op9_warc_fixity, op10_source_mix,
+    op11_token_alignment,
 ]
 
 
