@@ -12,6 +12,7 @@ from tenura.llm.fixity import OP9_SQL, op9_warc_fixity
 from tenura.llm.html_text import op4_html_text
 from tenura.llm.knn import op2_exact_top_k
 from tenura.llm.language import op5_language_id
+from tenura.llm.licences import op12_licence_scan
 from tenura.llm.mixing import op10_source_mix
 from tenura.llm.packing import op8_packing
 from tenura.llm.pseudonyms import op7_pseudonyms
@@ -23,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES = [
     op1_simhash_dedup, op2_exact_top_k, op3_embedding_dedup, op4_html_text, op5_language_id,
     op6_quality, op7_pseudonyms, op8_packing, op9_warc_fixity, op10_source_mix,
-    op11_token_alignment,
+    op11_token_alignment, op12_licence_scan,
 ]
 
 
