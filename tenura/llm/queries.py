@@ -14,6 +14,7 @@ from tenura.llm.knn import op2_exact_top_k
 from tenura.llm.language import op5_language_id
 from tenura.llm.licences import op12_licence_scan
 from tenura.llm.mixing import op10_source_mix
+from tenura.llm.negatives import OP13_SQL, op13_hard_negatives
 from tenura.llm.packing import op8_packing
 from tenura.llm.pseudonyms import op7_pseudonyms
 from tenura.llm.quality import op6_quality
@@ -24,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES = [
     op1_simhash_dedup, op2_exact_top_k, op3_embedding_dedup, op4_html_text, op5_language_id,
     op6_quality, op7_pseudonyms, op8_packing, op9_warc_fixity, op10_source_mix,
-    op11_token_alignment, op12_licence_scan,
+    op11_token_alignment, op12_licence_scan, op13_hard_negatives,
 ]
 
 
@@ -33,7 +34,7 @@ def build_queries() -> dict[str, Query]:
 
 
 def build_oracles() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op9_warc_fixity": OP9_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op9_warc_fixity": OP9_SQL, "op13_hard_negatives": OP13_SQL}
 
 
 # Meant for small tables: it scores all pairs of a query and a row. The sums
