@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenura.ml.boosting import NewtonBoosting
+from tenura.ml.forest import ExtraTrees
 from tenura.ml.prep import (
     Preprocessor, PreprocessorModel, feature_types, ml_feature_frame, spread, stratified_split,
 )
@@ -36,17 +36,11 @@ def random_forest(n_train: int = 0, trees: int = 300, depth: int = 10):
 
 
 def gradient_boosting(n_train: int = 0, rounds: int = 100, depth: int = 3):
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=RANDOM_SEED, **_COMMON)
+    return NewtonBoosting(rounds, depth, step=0.1)
 
 
-def extra_trees(n_train: int = 0, trees: int = 300, depth: int = 30):
-    """Nearest Spark form of extremely randomised trees: no bootstrap, a random
-    feature subset per split. Thresholds are the best of the bins, not random,
-    and depth is limited to Spark's 30. Each row remembers its node, so that it
-    is not routed down every tree again at each level."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=RANDOM_SEED,
-                                  bootstrap=False, featureSubsetStrategy="sqrt",
-                                  cacheNodeIds=True, maxMemoryInMB=1024, **_COMMON)
+def extra_trees(n_train: int = 0, trees: int = 300, depth: int | None = None):
+    return ExtraTrees(trees, depth)
 
 
 MODELS: dict[str, Callable] = {

@@ -122,6 +122,12 @@ class PreprocessorModel(Model):
         self.numeric, self.medians, self.modes = list(numeric), medians, modes
         self.scales, self.encoder = scales, None
 
+    def feature_names(self) -> list[str]:
+        """What each place of ``features`` holds: numbers by column, then column=label."""
+        indexer = self.encoder.stages[0]
+        labels = zip(indexer.getInputCols(), indexer.labelsArray)
+        return [*self.numeric, *[f"{c}={v}" for c, values in labels for v in values]]
+
     def scaled(self, df: DataFrame) -> DataFrame:
         filled = impute(impute(df, self.medians), self.modes)
         copies = filled.withColumns({f"{c}_scaled": F.col(c) for c in self.numeric})
@@ -135,7 +141,9 @@ class PreprocessorModel(Model):
 # --- exact, seeded, stratified assignment -------------------------------------
 
 def hash_key(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    """60 bits of the digest of seed and key, which any engine can tell."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def stratified_cuts(df: DataFrame, fractions: Sequence[float], strata: str, key: str, seed: int
@@ -148,7 +156,7 @@ def stratified_cuts(df: DataFrame, fractions: Sequence[float], strata: str, key:
     """
     hashed = df.where(F.col(strata).isNotNull()).select(
         strata, key, hash_key(key, seed).alias("h")
-    ).withColumn("slice", F.shiftright("h", 48))
+    ).withColumn("slice", F.shiftright("h", 44))
     sizes = hashed.groupBy(strata, "slice").agg(F.count(F.lit(1)).alias("n"))
     in_stratum = Window.partitionBy(strata)
     up_to = in_stratum.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)

@@ -3,28 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tenura.ml.forest import Growth, Pruned, bin_edges, coded, feature_rows, forest_scores, grow_forest
 from tenura.ml.metrics import classification_metrics
 from tenura.ml.models import MODELS, fit_predict, training_vectors, with_label
 from tenura.ml.prep import ml_feature_frame, stratified_folds
-from tenura.schema import RANDOM_SEED, TARGET_FLAG
+from tenura.operators.hypothesis import mann_whitney
+from tenura.schema import CUSTOMER_ID
+from tenura.sources.shared import pin
 
-# The grid as fixed values; depth None means as deep as Spark allows.
+# The grid as fixed values; depth None means until leaves can't be split.
 FOREST_GRID = {
     "trees": [100, 200],
     "depth": [5, 8, 12, None],
+    "min_split": [2, 5, 10],
     "min_leaf": [1, 2, 4],
     "class_weight": [None, "balanced"],
 }
-MAX_DEPTH = 30
 
 
 def stratified_cv(df: DataFrame, model: str = "logistic_regression", folds: int = 5,
@@ -49,53 +49,57 @@ def stratified_cv(df: DataFrame, model: str = "logistic_regression", folds: int
     return local.unionByName(means.select(F.lit("mean").alias("fold"), "accuracy", "roc_auc"))
 
 
-def balanced_weights(df: DataFrame, label: str = TARGET_FLAG) -> DataFrame:
-    """Columns of weights: one for all, and inverse to the class frequency."""
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # one per class
+def balanced_weights(sizes: Mapping[int, int]) -> tuple[float, float]:
+    """Weights of the classes 0 and 1, inverse to their frequency."""
     n = sum(sizes.values())
-    weight = reduce(
-        lambda w, kv: w.when(F.col(label) == kv[0], n / (len(sizes) * kv[1])), sizes.items(), F
-    )
-    return df.withColumns({"_even": F.lit(1.0), "weight": weight})
+    return tuple(n / (len(sizes) * sizes[k]) if sizes.get(k) else 1.0 for k in (0, 1))
 
 
-def rf_grid_search(df: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 3,
-                   parallelism: int = 4) -> DataFrame:
-    """Mean cross-validated area per setting, best first. The minimum number of
-    rows to split a node has no Spark parameter and is not searched.
+def rf_grid_search(df: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID, folds: int = 3) -> DataFrame:
+    """Mean cross-validated area per setting, best first.
 
-    Preprocessing is fitted once per fold and its vectors are written; only the
-    forests are fitted for each setting."""
+    Per fold one forest is grown for each leaf size and class weight, as large and
+    deep as any setting asks for; number of trees, depth and the rows that a split
+    needs are cut from its table of nodes, which gives what fits of their own
+    would. All settings are scored in one pass over the held-out rows."""
     rows = stratified_folds(ml_feature_frame(df), folds)
-    settings = [
-        (trees, depth or MAX_DEPTH, leaf, weight is not None)
-        for trees in grid["trees"] for depth in grid["depth"]
-        for leaf in grid["min_leaf"] for weight in grid["class_weight"]
-    ]
-    evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
-    areas = [0.0] * len(settings)
+    trees = max(grid["trees"])
+    depth = None if None in grid["depth"] else max(grid["depth"])
+    kinds = [(leaf, weight is not None) for leaf in grid["min_leaf"] for weight in grid["class_weight"]]
+    cuts = [Pruned(t, d, s) for t in grid["trees"] for d in grid["depth"] for s in grid["min_split"]]
+    names = {f"v{v}_{i}": (kind, cut) for v, kind in enumerate(kinds) for i, cut in enumerate(cuts)}
+    areas = dict.fromkeys(names, 0.0)
     for k in range(folds):
         train, test = (rows.where(c).drop("fold") for c in (f"fold <> {k}", f"fold = {k}"))
-        prep, vectors = training_vectors(balanced_weights(train), more=["_even", "weight"])
-        held = with_label(prep.transform(test)).select("label", "features").persist()
-
-        def area(setting: tuple) -> float:
-            trees, depth, leaf, weighted = setting
-            forest = RandomForestClassifier(
-                labelCol="label", seed=RANDOM_SEED, featureSubsetStrategy="sqrt", numTrees=trees, maxDepth=depth,
-                minInstancesPerNode=leaf, weightCol="weight" if weighted else "_even",
-                cacheNodeIds=True, maxMemoryInMB=1024,
-            )
-            return evaluator.evaluate(forest.fit(vectors).transform(held))
-
-        try:
-            with ThreadPool(parallelism) as pool:
-                found = pool.map(inheritable_thread_target(df.sparkSession)(area), settings)
-        finally:
-            vectors.unpersist()
-            held.unpersist()
-        areas = [a + f / folds for a, f in zip(areas, found)]
-    data = [(*s, float(a)) for s, a in zip(settings, areas, strict=True)]
+        for name, area in _areas(train, test, kinds, cuts, trees, depth, list(names)).items():
+            areas[name] += area / folds
+    data = [(c.trees, c.depth, c.split, leaf, balanced, areas[name]) for name, ((leaf, balanced), c) in names.items()]
     return df.sparkSession.createDataFrame(
-        data, "trees int, depth int, min_leaf int, balanced boolean, roc_auc double"
-    ).orderBy(F.col("roc_auc").desc(), "trees", "depth", "min_leaf", "balanced")
+        data, "trees int, depth int, min_split int, min_leaf int, balanced boolean, roc_auc double"
+    ).orderBy(F.col("roc_auc").desc(), "trees", F.col("depth").asc_nulls_last(), "min_split", "min_leaf", "balanced")
+
+
+def _areas(train: DataFrame, test: DataFrame, kinds: Sequence[tuple[int, bool]], cuts: Sequence[Pruned], trees: int,
+           depth: int | None, names: Sequence[str], key: str = CUSTOMER_ID) -> dict[str, float]:
+    """Area on ``test`` of every kind of forest and cut, by name."""
+    prep, vectors = training_vectors(train, key)
+    try:
+        edges = bin_edges(vectors)
+        coded_rows = pin(coded(feature_rows(vectors, f"xxhash64(`{key}`)"), edges), "grid-rows")
+    finally:
+        vectors.unpersist()
+    sizes = {r.label: r["count"] for r in coded_rows.groupBy("label").count().collect()}     # one per class
+    features = len(edges)
+    growth = Growth(trees, max(1, int(features**0.5)), False, True, depth,
+                    tuple((leaf, *(balanced_weights(sizes) if balanced else (1.0, 1.0))) for leaf, balanced in kinds))
+    nodes = grow_forest(coded_rows, growth, sum(sizes.values()), features, edges, "grid-forest")
+    held = with_label(prep.transform(test)).select("label", "features")
+    held = pin(feature_rows(held, "monotonically_increasing_id()"), "grid-held")
+    scores = forest_scores(nodes, held, held.count(), trees, cuts)
+    wide = scores.groupBy("row").agg(*[
+        F.max(F.when(F.col("variant") == v, F.col("scores")[i])).alias(f"v{v}_{i}")
+        for v in range(len(kinds)) for i in range(len(cuts))
+    ])
+    wide = pin(wide.join(held.select("row", "label"), "row"), "grid-scores")
+    ranks = mann_whitney(wide, names, "label", p_value=False)
+    return {r.feature: r.U / (r.n1 * r.n0) for r in ranks.collect()}     # one per setting

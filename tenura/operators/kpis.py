@@ -57,6 +57,11 @@ def report_json(report: DataFrame) -> DataFrame:
     return report.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("report"))
 
 
+def report_fields(documents: DataFrame, schema: str) -> DataFrame:
+    """The fields of JSON documents again, by a schema; what a document lacks is null."""
+    return documents.select(F.from_json("report", schema).alias("r")).select("r.*")
+
+
 def probabilities(df: DataFrame) -> DataFrame:
     """Marginal, conditional and joint churn probabilities, with the joint one
     rebuilt from its factors."""

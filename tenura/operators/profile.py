@@ -29,7 +29,8 @@ def profile_tail(df: DataFrame, n: int = 5, key: str = CUSTOMER_ID) -> DataFrame
 def profile_sample(df: DataFrame, n: int = 5, seed: int = RANDOM_SEED,
                    key: str = CUSTOMER_ID) -> DataFrame:
     """Seeded sample without replacement; the same rows under any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(digest, key).limit(n)
 
 
 def _per_column(df: DataFrame, aggregate, out: str) -> DataFrame:

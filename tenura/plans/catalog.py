@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenura import schema as S
 from tenura.functions.columns import significant
-from tenura.ml import cluster, metrics, prep, validation
+from tenura.ml import cluster, metrics, prep, reweighted, validation
 from tenura.operators import (
     clean, correlation, distribution, features, hypothesis, kpis, profile, quality, ranking,
     segments,
@@ -28,17 +28,11 @@ from tenura.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-ONE_HOT_COLUMNS = {
-    "Contract": ["Month-to-month", "One year", "Two year"],
-    "InternetService": ["DSL", "Fiber optic", "No"],
-    "gender": ["Female", "Male"],
-}
 CARD_FILTERS = {"Partner": ["Yes"], "Contract": ["Month-to-month", "One year"]}
-# What the registered query searches of the forest grid. The operator's default is
-# the full grid of 48 settings, which takes over 15 minutes even on small data.
-SEARCHED_GRID = {
-    "trees": [100], "depth": [5, 8], "min_leaf": [1], "class_weight": [None, "balanced"],
-}
+REGRESSION_COLUMNS = ("tenure", "MonthlyCharges", "SeniorCitizen")
+# A churn score by rule, so that metrics can be told apart from any model's fit.
+RULE_SCORE = "(MonthlyCharges / 130.0E0 + CASE WHEN Contract = 'Month-to-month' THEN 0.5E0 ELSE 0.0E0 END) / 1.5E0"
+RULE_CLUSTER = "CASE WHEN tenure <= 24 THEN 0 WHEN tenure <= 48 THEN 1 ELSE 2 END"
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -97,7 +91,10 @@ def _average_rank(w: Workspace) -> DataFrame:
 def _impute_median(w: Workspace) -> DataFrame:
     frame = prep.ml_feature_frame(w.features)
     numeric, _ = prep.feature_types(frame)
-    filled = prep.impute(frame, prep.fit_medians(frame, numeric))
+    holed = frame.select("customerID", *[
+        F.expr(f"CASE WHEN (CAST(customerID AS INT) + {i}) % 5 <> 0 THEN `{c}` END").alias(c) for i, c in enumerate(numeric)
+    ])
+    filled = prep.impute(holed, prep.fit_medians(holed, numeric))
     return filled.select("customerID", *[F.col(c).cast("double").alias(c) for c in numeric])
 
 
@@ -118,22 +115,48 @@ def _standard_scale(w: Workspace) -> DataFrame:
 
 
 def _one_hot(w: Workspace) -> DataFrame:
-    frame = w.features.select("customerID", *ONE_HOT_COLUMNS)
-    encoded = Pipeline(stages=prep.one_hot(list(ONE_HOT_COLUMNS))).fit(frame).transform(frame)
-    return encoded.select("customerID", *[
-        vector_to_array(f"{c}_onehot")[i].alias(f"{c}_{i}")
-        for c, labels in ONE_HOT_COLUMNS.items() for i in range(len(labels))
-    ])
+    """The place of the one in each column's vector, and the vector's length."""
+    frame = prep.ml_feature_frame(w.features)
+    _, categorical = prep.feature_types(frame)
+    encoded = Pipeline(stages=prep.one_hot(categorical)).fit(frame).transform(frame)
+    hot = [F.struct(F.lit(c).alias("column_name"), vector_to_array(f"{c}_onehot").alias("v")) for c in categorical]
+    return encoded.select("customerID", F.inline(F.array(*hot))).select(
+        "customerID", "column_name", F.size("v").cast("bigint").alias("size"),
+        F.nullif(F.array_position("v", 1.0), F.lit(0)).cast("bigint").alias("place"),
+    )
 
 
 def _preprocessed(w: Workspace) -> DataFrame:
+    """Every number and every one that is set in the vectors, by name."""
     frame = prep.ml_feature_frame(w.features)
     model = prep.Preprocessor(*prep.feature_types(frame)).fit(frame)
-    return model.transform(frame).select(
-        "customerID", "Churn_Flag", vector_to_array("features").alias("features")
+    names, n = model.feature_names(), len(model.numeric)
+    values = model.transform(frame).select("customerID", F.posexplode(vector_to_array("features")).alias("i", "v"))
+    named = values.where((F.col("i") < n) | (F.col("v") != 0))
+    return named.select("customerID", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("i") + 1).alias("feature"),
+                        (F.round("v", 6) + F.lit(0.0)).alias("value"))
+
+
+def _rule_predictions(w: Workspace) -> DataFrame:
+    score = F.expr(RULE_SCORE)
+    return w.features.select("customerID", "Churn_Flag", score.alias("score")).select(
+        "customerID", "Churn_Flag", (F.col("score") > 0.5).cast("double").alias("prediction"),
+        array_to_vector(F.array(1 - F.col("score"), F.col("score"))).alias("probability"),
     )
 
 
+def _scattered_labels(w: Workspace) -> DataFrame:
+    """All rows in the first and the last tenure group: the others are empty."""
+    first, last = S.CATEGORY_LABELS["Tenure_Group"][0], S.CATEGORY_LABELS["Tenure_Group"][-1]
+    return w.features.withColumn("Tenure_Group", F.when(F.col("tenure") <= 24, first).otherwise(last))
+
+
+def _report_fields(w: Workspace) -> DataFrame:
+    report = kpis.business_report(w.features, w.unique_ids)
+    schema = ", ".join(f"{name} {kind}" for name, kind in report.dtypes)
+    return amounts(kpis.report_fields(kpis.report_json(report), schema))
+
+
 def _split(w: Workspace) -> DataFrame:
     train, test = prep.stratified_split(prep.ml_feature_frame(w.features))
     return train.select("customerID", "Churn_Flag", F.lit("train").alias("part")).unionByName(
@@ -167,6 +190,7 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     # sources and sinks
     q["scan_subscribers"] = _scan_csv
     q["report_json"] = lambda w: kpis.report_json(kpis.business_report(w.features, w.unique_ids))
+    q["report_json_fields"] = _report_fields
     q["chart_table_sink"] = _chart_table
 
     # profiling, on the raw delivery
@@ -266,10 +290,10 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
         "dim", "dim_value", "metric", "sum", "share_of_total"
     ), "sum", "share_of_total")
     q["churn_rate_by_empty_labels"] = lambda w: segments.churn_rate_by(
-        w.features.where("tenure <= 12"), "Tenure_Group"
+        _scattered_labels(w), "Tenure_Group"
     )
     q["metric_summary_all_empty_labels"] = lambda w: _summary(segments.metric_summary_all(
-        w.features.where("tenure <= 12"), ["Tenure_Group"], ["MonthlyCharges"]
+        _scattered_labels(w), ["Tenure_Group"], ["MonthlyCharges"]
     ))
     q["average_rank"] = _average_rank
 
@@ -323,20 +347,22 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     for name in ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting",
                  "extra_trees"):
         q[name] = lambda w, name=name: metrics.classification_metrics(w.predictions(name), name)
-    q["classification_metrics"] = lambda w: metrics.classification_metrics(
-        w.predictions("logistic_regression"), "logistic_regression"
-    )
-    q["classification_report"] = lambda w: metrics.classification_report(
-        w.predictions("logistic_regression")
-    )
-    q["confusion_matrix"] = lambda w: metrics.confusion_matrix(
-        w.predictions("logistic_regression")
-    )
+    q["reweighted_regression"] = lambda w: eight_places(reweighted.reweighted_regression(
+        w.features, REGRESSION_COLUMNS), "coefficient", "odds_ratio")
+    q["classification_metrics"] = lambda w: eight_places(
+        metrics.classification_metrics(_rule_predictions(w), "rule"), "accuracy", "precision", "recall", "f1", "roc_auc")
+    q["classification_report"] = lambda w: eight_places(
+        metrics.classification_report(_rule_predictions(w)), "precision", "recall", "f1")
+    q["confusion_matrix"] = lambda w: metrics.confusion_matrix(_rule_predictions(w))
+    q["logistic_regression_report"] = lambda w: metrics.classification_report(w.predictions("logistic_regression"))
+    q["logistic_regression_confusion"] = lambda w: metrics.confusion_matrix(w.predictions("logistic_regression"))
     q["stratified_cv"] = lambda w: validation.stratified_cv(w.features)
-    q["rf_grid_search"] = lambda w: validation.rf_grid_search(w.features, SEARCHED_GRID)
+    q["rf_grid_search"] = lambda w: validation.rf_grid_search(w.features)
     q["kmeans_sweep"] = lambda w: cluster.kmeans_sweep(w.features)
     q["kmeans_assign"] = lambda w: _clusters(w).select("customerID", "Customer_Cluster")
-    q["cluster_summary"] = lambda w: segments.cluster_summary(_clusters(w), w.unique_ids)
+    q["cluster_summary"] = lambda w: _cluster_figures(segments.cluster_summary(
+        w.features.withColumn("Customer_Cluster", F.expr(RULE_CLUSTER)), w.unique_ids))
+    q["cluster_summary_kmeans"] = lambda w: segments.cluster_summary(_clusters(w), w.unique_ids)
     q["pca_project"] = lambda w: cluster.pca_project(w.features)
     q["pca_variance"] = lambda w: cluster.pca_variance(w.features)
 
@@ -360,6 +386,10 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
 _FENCES = ("Q1", "Q3", "IQR", "Lower_Bound", "Upper_Bound")
 
 
+def _cluster_figures(df: DataFrame) -> DataFrame:
+    return rounded(df, *[c for c in df.columns if c.startswith("Avg_")], "Revenue_Lost")
+
+
 def _summary(df: DataFrame) -> DataFrame:
     return six_places(rounded(df, "sum", "mean", "std", "share_of_total"), "median")
 

@@ -104,6 +104,7 @@ def mean(c: str) -> str:
     return sig(f"AVG(CAST({c} AS DOUBLE))")
 
 
+_SCATTERED = "CASE WHEN tenure <= 24 THEN '0-12' ELSE '61-72' END"
 _RATE = "AVG(Churn_Flag) * 100"
 _CHURNED = "CASE WHEN CAST(Churn AS VARCHAR(3)) IN ('Yes', '1') THEN 1 ELSE 0 END"
 _SQL_RATE = f"ROUND(100.0E0 * SUM({_CHURNED}) / COUNT(*), 2)"
@@ -482,6 +483,8 @@ def _profile() -> dict[str, str]:
             f"SELECT COUNT(*) AS n_rows, {len(S.RAW_COLUMNS)} AS n_columns, "
             f"'{RAW}' AS column_names FROM subscribers_raw"
         ),
+        "profile_sample": on_raw(
+            f"SELECT {RAW} FROM subscribers ORDER BY md5('{S.RANDOM_SEED}:' || customerID), customerID LIMIT 5"),
         "profile_head": on_raw(f"SELECT {RAW} FROM subscribers ORDER BY customerID LIMIT 5"),
         "profile_tail": on_raw(f"SELECT {RAW} FROM subscribers ORDER BY customerID DESC LIMIT 5"),
         "profile_schema":
@@ -571,7 +574,7 @@ def _reports() -> dict[str, str]:
         "churn_rate_by_empty_labels": on_features(f"""
 SELECT Tenure_Group, AVG(Churn_Flag) * 100 AS churn_rate
 FROM (VALUES {_label_rows('Tenure_Group')}) every(Tenure_Group)
-LEFT JOIN (SELECT Tenure_Group, Churn_Flag FROM feat WHERE tenure <= 12) USING (Tenure_Group)
+LEFT JOIN (SELECT {_SCATTERED} AS Tenure_Group, Churn_Flag FROM feat) USING (Tenure_Group)
 GROUP BY Tenure_Group"""),
         "metric_summary_all_empty_labels": on_features(f"""
 SELECT 'Tenure_Group' AS dim, Tenure_Group AS dim_value, 'MonthlyCharges' AS metric, COUNT(v) AS "count",
@@ -580,7 +583,7 @@ SELECT 'Tenure_Group' AS dim, Tenure_Group AS dim_value, 'MonthlyCharges' AS met
        {sig('COALESCE(SUM(v), 0) / SUM(COALESCE(SUM(v), 0)) OVER ()')} AS share_of_total,
        CASE WHEN AVG(v) IS NOT NULL THEN DENSE_RANK() OVER (ORDER BY AVG(v) DESC NULLS LAST)::INT END AS metric_rank
 FROM (VALUES {_label_rows('Tenure_Group')}) every(Tenure_Group)
-LEFT JOIN (SELECT Tenure_Group, MonthlyCharges AS v FROM feat WHERE tenure <= 12) USING (Tenure_Group)
+LEFT JOIN (SELECT {_SCATTERED} AS Tenure_Group, MonthlyCharges AS v FROM feat) USING (Tenure_Group)
 GROUP BY Tenure_Group"""),
         "crosstab_fraction": _crosstab("Contract", "1.0E0", ("retained", "churned"),
                                        "Churn_Flag = 1"),
@@ -657,6 +660,77 @@ ORDER BY MonthlyCharges DESC NULLS LAST, customerID LIMIT 100""",
     }.items()}
 
 
+def _reweighted(columns: list[str], steps: int = 9, penalty: str = "1.0E0") -> str:
+    """Newton's steps for a logistic regression, one after the other. Each takes the
+    weighted products of the columns from the table and eliminates by hand."""
+    names = ["intercept", *columns]
+    k = range(len(names))
+    more = [f"data AS (SELECT Churn_Flag AS y, 1.0E0 AS x0, "
+            + ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(columns, 1)) + " FROM feat)",
+            "b0 AS (SELECT " + ", ".join(f"0.0E0 AS b{i}" for i in k) + ")"]
+    for step in range(1, steps + 1):
+        score = " + ".join(f"b{i} * x{i}" for i in k)
+        more.append(f"p{step} AS (SELECT *, 1 / (1 + exp(-({score}))) AS p FROM data, b{step - 1})")
+        ridge = ["0.0E0", *[penalty for _ in columns]]
+        cells = [f"SUM(x{i} * x{j} * p * (1 - p))" + (f" + {ridge[i]}" if i == j else "") + f" AS a{i}{j}"
+                 for i in k for j in k]
+        slopes = [f"SUM(x{i} * (y - p)) - {ridge[i]} * ANY_VALUE(b{i}) AS a{i}{len(names)}" for i in k]
+        old = [f"ANY_VALUE(b{i}) AS b{i}" for i in k]
+        more.append(f"m{step}_0 AS (SELECT {', '.join(cells + slopes + old)} FROM p{step})")
+        width = range(len(names) + 1)
+        for pivot in k:
+            row = [f"a{i}{j} - a{i}{pivot} / a{pivot}{pivot} * a{pivot}{j} AS a{i}{j}" if i != pivot else f"a{i}{j}"
+                   for i in k for j in width]
+            more.append(f"m{step}_{pivot + 1} AS (SELECT {', '.join(row)}, {', '.join(f'b{i}' for i in k)} "
+                        f"FROM m{step}_{pivot})")
+        solved = [f"b{i} + a{i}{len(names)} / a{i}{i} AS b{i}" for i in k]
+        more.append(f"b{step} AS (SELECT {', '.join(solved)} FROM m{step}_{len(names)})")
+    rows = _union([
+        f"SELECT '{name}' AS term, {eight_places(f'b{i}')} AS coefficient, {eight_places(f'exp(b{i})')} AS odds_ratio "
+        f"FROM b{steps}" for i, name in enumerate(names)
+    ])
+    return on_features(rows, ", " + ", ".join(more))
+
+
+def _rule_metrics() -> dict[str, str]:
+    score = ("(MonthlyCharges / 130.0E0 + CASE WHEN Contract = 'Month-to-month' THEN 0.5E0 ELSE 0.0E0 END) / 1.5E0")
+    rule = f""", s AS (SELECT CAST(Churn_Flag AS INT) AS y, {score} AS score FROM feat),
+p AS (SELECT y, score, CASE WHEN score > 0.5 THEN 1 ELSE 0 END AS h,
+             RANK() OVER (ORDER BY score) + (COUNT(*) OVER (PARTITION BY score) - 1) / 2.0E0 AS r FROM s),
+c AS (SELECT CAST(SUM(y * h) AS DOUBLE) AS tp, CAST(SUM((1 - y) * h) AS DOUBLE) AS fp,
+             CAST(SUM(y * (1 - h)) AS DOUBLE) AS fn, CAST(SUM((1 - y) * (1 - h)) AS DOUBLE) AS tn,
+             SUM(y * r) AS ranks FROM p),
+k AS (SELECT label, COALESCE(hit / NULLIF(called, 0), 0) AS a, COALESCE(hit / NULLIF(support, 0), 0) AS b,
+             COALESCE(2 * hit / NULLIF(called + support, 0), 0) AS f, support, hit
+      FROM (SELECT '0' AS label, tn AS hit, tn + fn AS called, tn + fp AS support FROM c
+            UNION ALL SELECT '1', tp, tp + fp, tp + fn FROM c))"""
+    e = eight_places
+    weighted = ", ".join(f"{e(f'SUM({x} * support) / SUM(support)')}" for x in "abf")
+    return {
+        "classification_metrics": on_features(f"""
+SELECT 'rule' AS model, {e('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy,
+       {e('COALESCE(tp / NULLIF(tp + fp, 0), 0)')} AS "precision", {e('COALESCE(tp / NULLIF(tp + fn, 0), 0)')} AS recall,
+       {e('COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0)')} AS f1,
+       {e('(ranks - (tp + fn) * (tp + fn + 1) / 2) / ((tp + fn) * (fp + tn))')} AS roc_auc
+FROM c""", rule),
+        "classification_report": on_features(f"""
+SELECT label, {e('a')} AS "precision", {e('b')} AS recall, {e('f')} AS f1, CAST(support AS BIGINT) AS support FROM k
+UNION ALL SELECT 'accuracy', {e('SUM(hit) / SUM(support)')}, {e('SUM(hit) / SUM(support)')},
+       {e('SUM(hit) / SUM(support)')}, CAST(SUM(support) AS BIGINT) FROM k
+UNION ALL SELECT 'macro avg', {e('AVG(a)')}, {e('AVG(b)')}, {e('AVG(f)')}, CAST(SUM(support) AS BIGINT) FROM k
+UNION ALL SELECT 'weighted avg', {weighted}, CAST(SUM(support) AS BIGINT) FROM k""", rule),
+        "confusion_matrix": on_features(
+            "SELECT y AS actual, h AS predicted, COUNT(*) AS n FROM p GROUP BY y, h", rule),
+        "cluster_summary": on_features(f"""
+SELECT CASE WHEN tenure <= 24 THEN 0 WHEN tenure <= 48 THEN 1 ELSE 2 END AS Customer_Cluster,
+       COUNT(DISTINCT customerID) AS Customers, {mean('tenure')} AS Avg_Tenure,
+       {mean('MonthlyCharges')} AS Avg_MonthlyCharges, {mean('TotalCharges')} AS Avg_TotalCharges,
+       {mean('Service_Count')} AS Avg_Service_Count, {_RATE} AS Churn_Rate, {total('Revenue_Lost')} AS Revenue_Lost
+FROM feat GROUP BY 1"""),
+        "report_json_fields": on_features(_REPORT),
+    }
+
+
 def _model_inputs() -> dict[str, str]:
     # Columns a model may use, in the order they appear in the feature table.
     used = [c for c in [
@@ -666,9 +740,12 @@ def _model_inputs() -> dict[str, str]:
     numeric = [c for c in used if c in ("SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "Tenure_Year",
                                         "Service_Count", "Support_Count", "Streaming_Count", *S.EQUALITY_FLAGS)]
     text = [c for c in used if c not in numeric]
+    gaps = ", ".join(
+        f"CASE WHEN (CAST(customerID AS INT) + {i}) % 5 <> 0 THEN CAST({c} AS DOUBLE) END AS {c}"
+        for i, c in enumerate(numeric)
+    )
     medians = ", ".join(
-        f"COALESCE(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM feat)) "
-        f"AS {c}" for c in numeric
+        f"COALESCE({c}, (SELECT quantile_cont({c}, 0.5) FROM h)) AS {c}" for c in numeric
     )
     modes = ", ".join(
         f"COALESCE({c}, (SELECT {c} FROM h WHERE {c} IS NOT NULL GROUP BY {c} "
@@ -681,26 +758,52 @@ def _model_inputs() -> dict[str, str]:
         f"ROUND((CAST({c} AS DOUBLE) - AVG({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}"
         for c in S.CLUSTER_FEATURES
     )
-    labels = {
-        "Contract": ["Month-to-month", "One year", "Two year"],
-        "InternetService": ["DSL", "Fiber optic", "No"],
-        "gender": ["Female", "Male"],
-    }
-    onehot = ", ".join(
-        f"CASE WHEN {c} = '{v}' THEN 1.0E0 ELSE 0.0E0 END AS {c}_{i}"
-        for c, values in labels.items() for i, v in enumerate(values)
-    )
+    texts = _union([
+        f"SELECT customerID, '{c}' AS column_name, CAST({c} AS VARCHAR) AS v FROM feat" for c in text
+    ])
+    numbers = _union([
+        f"SELECT customerID, '{c}' AS feature, ROUND((CAST({c} AS DOUBLE) - (SELECT AVG({c}) FROM feat)) "
+        f"/ (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM feat), 6) + 0.0E0 AS value FROM feat"
+        for c in numeric
+    ])
+    # Exact per class: rows in the order of a digest, cut at rounded shares.
+    ordered = f""", o AS (
+  SELECT customerID, Churn_Flag, COUNT(*) OVER (PARTITION BY Churn_Flag) AS n_all,
+         ROW_NUMBER() OVER (PARTITION BY Churn_Flag
+                            ORDER BY substr(md5('{S.RANDOM_SEED}:' || customerID), 1, 15), customerID) AS i
+  FROM feat
+)"""
+    fold = " + ".join(f"CASE WHEN i > ROUND(n_all * ({k} / 5.0E0)) THEN 1 ELSE 0 END" for k in range(1, 5))
     sizes = "(SELECT Churn_Flag, COUNT(*) AS n_all FROM feat GROUP BY Churn_Flag)"
     return {
         "ml_feature_frame": on_features(
             f"SELECT customerID, Churn_Flag, {', '.join(used)} FROM feat"
         ),
-        "impute_median": on_features(f"SELECT customerID, {medians} FROM feat"),
+        "impute_median": on_features(
+            f"SELECT customerID, {medians} FROM h", f", h AS (SELECT customerID, {gaps} FROM feat)"
+        ),
         "impute_mode": on_features(
             f"SELECT customerID, {modes} FROM h", f", h AS (SELECT customerID, {holed} FROM feat)"
         ),
         "standard_scale": on_features(f"SELECT customerID, {scaled} FROM feat"),
-        "one_hot": on_features(f"SELECT customerID, {onehot} FROM feat"),
+        "one_hot": on_features(f"""
+SELECT customerID, column_name, (SELECT COUNT(DISTINCT v) FROM t a WHERE a.column_name = t.column_name) AS size,
+       CASE WHEN v IS NOT NULL THEN DENSE_RANK() OVER (PARTITION BY column_name ORDER BY v) END AS place
+FROM t""", f", t AS ({texts})"),
+        "preprocess_pipeline": on_features(
+            f"SELECT customerID, t.column_name || '=' || COALESCE(v, top) AS feature, 1.0E0 AS value FROM t "
+            f"JOIN (SELECT column_name, FIRST(v ORDER BY n DESC, v) AS top FROM (SELECT column_name, v, COUNT(*) AS n "
+            f"FROM t WHERE v IS NOT NULL GROUP BY column_name, v) GROUP BY column_name) m "
+            f"ON m.column_name = t.column_name UNION ALL {numbers}",
+            f", t AS ({texts})"
+        ),
+        "stratified_split": on_features(
+            "SELECT customerID, Churn_Flag, CASE WHEN i > ROUND(n_all * 0.2E0) THEN 'train' ELSE 'test' END AS part FROM o",
+            ordered,
+        ),
+        "stratified_folds": on_features(f"SELECT customerID, Churn_Flag, CAST({fold} AS INT) AS fold FROM o", ordered),
+        "reweighted_regression": _reweighted(["tenure", "MonthlyCharges", "SeniorCitizen"]),
+        **_rule_metrics(),
         "stratified_split_sizes": on_features(f"""
 SELECT Churn_Flag, 'test' AS part, CAST(ROUND(n_all * 0.2E0) AS BIGINT) AS n FROM {sizes}
 UNION ALL

@@ -126,11 +126,10 @@ def test_cross_validation(spark, features):
 
 
 def test_grid_search(features):
-    grid = {"trees": [3], "depth": [2, 3], "min_leaf": [1], "class_weight": [None, "balanced"]}
+    grid = {"trees": [3], "depth": [2, 3], "min_split": [2], "min_leaf": [1], "class_weight": [None, "balanced"]}
     rows = validation.rf_grid_search(features, grid, folds=2).collect()
     assert len(rows) == 4 and rows[0].roc_auc == max(r.roc_auc for r in rows)
-    sizes = [len(v) for v in validation.FOREST_GRID.values()]
-    assert sizes == [2, 4, 3, 2]
+    assert [len(v) for v in validation.FOREST_GRID.values()] == [2, 4, 3, 3, 2]
 
 
 def test_clusters_recover_groups(spark):
