@@ -94,11 +94,15 @@ def test_small_chunks_and_segments_give_the_same(spark, tmp_path, brute, monkeyp
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(["alpha", "beta-gamma", "Δ", "it's", "so", "a  b"], k=80))) for i in range(30)]
     whole = expected(brute, rows)
+    monkeypatch.setattr(alignment, "REMEMBERED", 2000)
+    monkeypatch.setattr(alignment, "SEGMENT", 20)
+    monkeypatch.setattr(alignment, "TOGETHER", 100)
     for text in [t for _, t in rows[:5]]:
         found = alignment.Aligner(alignment.ByteLevelSide(A), alignment.PieceSide(B))
         monkeypatch.setattr(alignment.segments, "__defaults__", (20,))
-        assert len(alignment.segments(text)) > 3
-        cut = alignment.Text(found, text.encode())
+        monkeypatch.setattr(alignment, "LINKS_HELD", 10)
+        assert len(list(alignment.segments(text))) > 3
+        cut = found.texts([text.encode()])[0]
         n_a, n_b, groups, links = brute(text)
         assert (cut.n_a, cut.n_b, cut.groups, cut.n_links) == (n_a, n_b, groups, len(links))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
@@ -109,20 +113,38 @@ def test_small_chunks_and_segments_give_the_same(spark, tmp_path, brute, monkeyp
 
 def test_long_text_is_cut_and_complete(brute):
     found = alignment.Aligner(alignment.ByteLevelSide(A), alignment.PieceSide(B))
-    text = "some words of a long text, and more. " * 6000
-    parts = alignment.segments(text)
+    text = "some words of a long text, and more. " * 20000
+    parts = list(alignment.segments(text))
     assert len(parts) > 2 and " ".join(parts) == text
-    cut = alignment.Text(found, text.encode())
+    cut = found.texts([text.encode()])[0]
     assert cut.n_a == len(Tokenizer.from_file(A).encode(" " + text, add_special_tokens=False).ids)
     assert cut.times.sum() == cut.n_links and len(cut.pairs) < 100
     unbroken = "語" * 100_000
-    assert len(alignment.segments(unbroken)) == 1
-    assert alignment.Text(found, unbroken.encode()).n_groups > 0
+    assert list(alignment.segments(unbroken)) == [unbroken]
+    assert found.texts([unbroken.encode()])[0].n_groups > 0
+
+
+def test_words_alone_give_what_the_whole_text_gives(brute):
+    """Cuts at spaces beside marks, digits, white space of other kinds, joined signs."""
+    found = alignment.Aligner(alignment.ByteLevelSide(A), alignment.PieceSide(B))
+    rng = random.Random(6)
+    signs = list("ab'9.,!-_ \n\t\r\x0b\x1c\x85\xa0\u2003\u3000é́ßŁ²½🙂\u200d語ا'") + [" "] * 30 + ["ll", "ing", "'s", " the"]
+    for _ in range(1500):
+        text = "".join(rng.choices(signs, k=rng.randint(1, 40)))
+        cut, whole = found.texts([text.encode()])[0], brute(text)
+        if whole is None:
+            assert (cut.n_a, cut.groups) == (0, "")
+        else:
+            n_a, n_b, groups, links = whole
+            assert (cut.n_a, cut.n_b, cut.groups, cut.n_links) == (n_a, n_b, groups, len(links)), repr(text)
+            counts = Counter(j << 32 | i for i, j in links)
+            assert dict(zip(cut.pairs.tolist(), cut.times.tolist())) == counts
 
 
 def test_bytes_that_are_no_text_have_no_tokens():
     found = alignment.Aligner(alignment.ByteLevelSide(A), alignment.PieceSide(B))
-    assert (alignment.Text(found, b"\xff\xfe").n_a, alignment.Text(found, None).groups) == (0, "")
+    cut = found.texts([b"\xff\xfe", None, b"a"])
+    assert [(t.n_a, t.groups != "") for t in cut] == [(0, False), (0, False), (1, True)]
 
 
 def test_empty_table_and_clashing_columns(spark, tmp_path):
