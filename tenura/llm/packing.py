@@ -14,7 +14,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import accumulate
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -31,46 +31,108 @@ DOCUMENT, SENTENCE, INSIDE = 0, 4, 64  # penalty of a cut, in tokens of padding
 SEQUENCE = 8  # price of one more sequence
 GRID = 64  # distance of places inside sentences
 STREAM = 1 << 20  # tokens packed together
-WORDS_KEPT, PARTS_KEPT = 600_000, 1_000_000  # what a Python worker remembers
-DOCS = 128  # documents whose words are looked up together
+WORDS_KEPT, PARTS_KEPT = 96 << 20, 48 << 20  # bytes, about, that a Python worker remembers
+DOCS = 512  # documents whose words are looked up together
 MARKS = ".,!?;:*#$%&"
 LAST_LATIN, DOTTED_I = "\u024f", "\u0130"
 SPACE = re.compile(r"[^ \n\t\r]+")
 SENTENCE_ENDS = tuple(end + mark for end in ".!?" for mark in ("", '"', "'", ")", "»", "”"))
 
 
+class Store:
+    """Token ids of strings, one after the other in one array, by number."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.empty(1 << 12, dtype="<u4")
+        self.starts = np.zeros(1 << 10, dtype=np.int64)
+        self.held = 0
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.number)
+        begin = int(self.starts[at])
+        while at + len(strings) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while begin + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[begin:begin + len(ids)] = ids
+        self.starts[at + 1:at + 1 + len(strings)] = begin + np.cumsum(sizes)
+        self.number.update(zip(strings, range(at, at + len(strings))))
+        self.held += 170 * len(strings) + sum(map(len, strings)) + 4 * len(ids)
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these strings in order, and how many each has."""
+        starts = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - starts
+        shift = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+        return self.ids[np.arange(len(shift)) + shift], sizes
+
+
 class Encoder:
     """Token ids of texts. Words between white space are encoded once and
     remembered: no token of this vocabulary reaches over white space."""
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.ending: set[str] = set()
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known, self.ending = {}, set()
-        new = {w: _halves(w) for w in words if w not in self.known}
-        self._encode_parts({part for halves in new.values() for part in halves})
-        for word, (core, tail) in new.items():
-            self.known[word] = self.parts[core] + self.parts[tail]
-        self.ending.update(w for w in new if w.endswith(SENTENCE_ENDS))
-
-    def _encode_parts(self, parts: set[str]) -> None:
-        if len(self.parts) + len(parts) > PARTS_KEPT:
-            self.parts = {"": b""}
-        new = [p for p in parts if p not in self.parts]
-        for at in range(0, len(new), 5_000):
-            some = new[at:at + 5_000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            data = np.array(found.ids, dtype="<u4").tobytes()
+        self.end_id = end_id
+        sizes = {i: len(t.removesuffix("</w>")) for t, i in self.tokenizer.get_vocab().items()}
+        self.size_of = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
+        self.forget_words()
+        self.forget_parts()
+
+    def forget_words(self) -> None:
+        self.words, self.ending = Store(), np.zeros(0, dtype=bool)
+
+    def forget_parts(self) -> None:
+        self.parts = Store()
+        self.parts.add([""], self.parts.ids[:0], np.zeros(1, dtype=np.int64))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words by number, new ones after they were encoded."""
+        if self.words.held > WORDS_KEPT:
+            self.forget_words()
+        if self.parts.held > PARTS_KEPT:
+            self.forget_parts()
+        known = self.words.number
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(found < 0)
+        if len(missed):
+            some = list(map(words.__getitem__, missed.tolist()))
+            self._learn(list(dict.fromkeys(some)))
+            found[missed] = self.words.numbers(some)
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        halves = [half for w in new for half in _halves(w)]
+        known = self.parts.number
+        self._encode_parts([p for p in dict.fromkeys(halves) if p not in known])
+        ids, sizes = self.parts.joined(self.parts.numbers(halves))
+        self.words.add(new, ids, sizes.reshape(-1, 2).sum(axis=1))
+        self.ending = np.concatenate([self.ending, [w.endswith(SENTENCE_ENDS) for w in new]])
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Encode parts as one text. Tokens are told apart by the bytes they stand for;
+        of characters that may become more or fewer bytes, by their offsets."""
+        plain = [p for p in parts if _same_size(p)]
+        if plain:
+            found = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.cumsum(self.size_of[ids])
+            wanted = np.cumsum([len(p) if p.isascii() else len(p.lower().encode()) for p in plain])
+            cuts = np.searchsorted(ends, wanted)
+            if cuts[-1] + 1 == len(ids) and (ends[np.minimum(cuts, len(ids) - 1)] == wanted).all():
+                self.parts.add(plain, ids, np.diff(cuts, prepend=-1))
+            else:
+                plain = []
+        other = [p for p in parts if not _same_size(p)] if plain else parts
+        if other:
+            found = self.tokenizer.encode(" ".join(other), add_special_tokens=False)
             begins = np.array([start for start, _ in found.offsets])
-            cuts = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in some])).tolist()
-            for part, a, b in zip(some, [0, *cuts], cuts):
-                self.parts[part] = data[a * 4:b * 4]
+            cuts = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in other]))
+            self.parts.add(other, np.array(found.ids, dtype="<u4"), np.diff(cuts, prepend=0))
 
     def encode(self, text: str | None) -> tuple[bytes, list[int]]:
         """Ids with the end id, as little-endian bytes, and the token counts
@@ -79,13 +141,20 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[bytes, list[int]]]:
         split = [split_words(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        known, ending = self.known, self.ending
+        found = self.numbers([w for words in split for w in words])
+        end = np.array([self.end_id], dtype="<u4").tobytes()
+        at = 0
         for words in split:
-            pieces = list(map(known.__getitem__, words))
-            ends = [i for i, w in enumerate(words) if w in ending]
-            upto = list(accumulate(map(len, pieces)))
-            yield b"".join(pieces) + self.end, [upto[i] >> 2 for i in ends]
+            numbers = found[at:at + len(words)]
+            at += len(words)
+            ids, sizes = self.words.joined(numbers)
+            upto = np.cumsum(sizes)
+            yield ids.tobytes() + end, upto[self.ending[numbers]].tolist()
+
+
+def _same_size(part: str) -> bool:
+    """Lower-casing is all that the vocabulary does to it; no special token."""
+    return "|" not in part and (part.isascii() or (max(part) <= LAST_LATIN and DOTTED_I not in part))
 
 
 def _halves(word: str) -> tuple[str, str]:
@@ -93,6 +162,8 @@ def _halves(word: str) -> tuple[str, str]:
     marks after a Latin letter or digit are tokens of their own. The vocabulary
     knows no capitals, so such a core is lower-cased. Special tokens and other
     scripts stay whole."""
+    if word.isascii() and word.isalnum():
+        return word.lower(), ""
     core = word.rstrip(MARKS)
     if not core or not core[-1].isalnum() or "|" in core:
         return word, ""
