@@ -84,6 +84,27 @@ def test_chains_and_short_texts_equal_brute_force(spark, monkeypatch, block):
     assert grouped(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [256, 5])
+def test_large_groups_with_strays_equal_brute_force(spark, monkeypatch, block):
+    """Many near copies of one text, and texts that are like some of them but not
+    alike enough, which travel to every block."""
+    monkeypatch.setattr(near, "TEXTS", block)
+    monkeypatch.setattr(near, "LOOSE", 300)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        some = list(words)
+        for _ in range(rng.randrange(5)):
+            some[rng.randrange(120)] = f"z{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(some)))
+    strays = [words[:60] + [f"s{k}-{i}" for i in range(60)] for k in range(8)]
+    rows += [(len(rows) + k, " ".join(s)) for k, s in enumerate(strays)]
+    rows += [(len(rows) + k, " ".join(s + ["end"])) for k, s in enumerate(strays[:4])]
+    got = grouped(spark, rows)
+    assert got == brute(rows) and len(set(got.values())) > 8
+
+
 def test_edges(spark):
     rows = [(5, "a b c"), (3, "A  b\tC"), (9, None), (8, ""), (7, " \n"), (2, "long words " * 40_000), (1, "one"), (1, "one"), (None, "one"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
