@@ -107,6 +107,5 @@ def test_every_word_of_the_documents_encodes_like_alone(spark):
     encoder = Encoder(PATH, 2)
     words = {w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in r.text.split()}
     words |= {"İ.", "ΑΣ.", "<|ENDOFTEXT|>.", "<|endoftext|>!", "x<|endoftext|>", "...", "it's.", "a'S,", "'re!", "5.", "½,", "ǅ.", "ß!", "\".", "x\".", "ﬁ.", "Å.", "日本."}
-    encoder.learn(words)
-    expected = plain_ids(sorted(words))
-    assert [np.frombuffer(encoder.known[w], dtype="<u4").tolist() + [2] for w in sorted(words)] == expected
+    found = encoder.encode_all(sorted(words))
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids, _ in found] == plain_ids(sorted(words))
