@@ -82,4 +82,4 @@ def test_odd_documents_pass_every_stage(spark, stages):
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in build_queries())
-    assert numbers == list(range(1, 11)) and set(build_oracles()) <= set(build_queries())
+    assert numbers == list(range(1, 14)) and set(build_oracles()) <= set(build_queries())
