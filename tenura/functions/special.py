@@ -96,6 +96,35 @@ def normal_two_sided(z: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2)))
 
 
+def rank_sum_counts(m: int, n: int) -> list[int]:
+    """In how many of the orders of ``m`` and ``n`` different values U is 0, 1, ... m n."""
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        # Times (1 - q^(n+i)) / (1 - q^i), the next factor of the Gaussian binomial.
+        for u in range(m * n, n + i - 1, -1):
+            counts[u] -= counts[u - n - i]
+        for u in range(i, m * n + 1):
+            counts[u] += counts[u - i]
+    return counts
+
+
+def rank_sum_two_sided(u: float, n1: float, n0: float) -> float:
+    """Probability of a U as far from the middle as this one, without ties."""
+    m, n = int(n1), int(n0)
+    counts = rank_sum_counts(min(m, n), max(m, n))
+    above = sum(counts[math.ceil(max(u, m * n - u)):])
+    return min(1.0, 2 * above / sum(counts))
+
+
+def rank_sum_p_value():
+    """The exact p where it applies (small and without ties), else the normal one."""
+    @F.pandas_udf("double")
+    def p(u: pd.Series, n1: pd.Series, n0: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
+        small, large = _over(rank_sum_two_sided, u.where(exact), n1, n0), _over(normal_two_sided, z)
+        return small.where(exact, large)
+    return p
+
+
 def _over(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series([
         None if any(pd.isna(v) for v in row) else fn(*row)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,6 +17,12 @@ from pyspark.sql import functions as F
 
 from tenura.ml.prep import fit_medians, fit_scales, impute, spread, standard_scale
 from tenura.schema import CLUSTER_FEATURES, CUSTOMER_ID, RANDOM_SEED
+from tenura.sources.shared import pin
+from tenura.sources.workers import find_package
+
+
+SILHOUETTE_POINTS = 100_000  # distinct points of which all pairs are compared
+SILHOUETTE_BLOCK = 1024
 
 
 def cluster_vectors(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES,
@@ -41,10 +49,11 @@ def best_kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = RANDOM
 
 
 def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 9), starts: int = 10,
-                 features: Sequence[str] = CLUSTER_FEATURES, key: str = CUSTOMER_ID) -> DataFrame:
+                 features: Sequence[str] = CLUSTER_FEATURES, key: str = CUSTOMER_ID, euclidean: bool = False) -> DataFrame:
     """Inertia and silhouette per number of clusters. The silhouette is the
-    squared-Euclidean one, which needs no distances between pairs of rows."""
-    vectors = spread(cluster_vectors(df, features, [key]), key).select("features").persist(
+    squared-Euclidean one, which needs no distances between pairs of rows, or
+    the ``euclidean`` one, for as many rows as ``euclidean_silhouette`` takes."""
+    vectors = spread(pin(cluster_vectors(df, features, [key]), "cluster-vectors"), key).select("features").persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
@@ -52,18 +61,70 @@ def kmeans_sweep(df: DataFrame, ks: Sequence[int] = range(2, 9), starts: int = 1
         rows = []
         for k in ks:
             model = best_kmeans(vectors, k, starts)
-            rows.append((k, float(model.summary.trainingCost),
-                         float(silhouette.evaluate(model.transform(vectors)))))
+            found = model.transform(vectors)
+            shape = (euclidean_silhouette(found.withColumnRenamed("prediction", "cluster")) if euclidean
+                     else float(silhouette.evaluate(found)))
+            rows.append((k, float(model.summary.trainingCost), shape))
     finally:
         vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
+def euclidean_silhouette(points: DataFrame, max_points: int = SILHOUETTE_POINTS) -> float | None:
+    """Mean silhouette by Euclidean distance of (cluster, features), exactly.
+
+    Equal points collapse first. Every block of distinct points meets every other in a
+    task of its own, which adds up distances per point and cluster; so the work grows
+    with the square of the distinct points, and more than ``max_points`` of them are
+    refused. A point alone in its cluster counts 0; one cluster alone has none."""
+    values = points.select(F.col("cluster").cast("int").alias("cluster"), vector_to_array("features").alias("v"))
+    distinct = pin(values.groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "point", F.monotonically_increasing_id()), "silhouette-points")
+    sizes = {r.cluster: (r.n, r.points) for r in distinct.groupBy("cluster").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("points")).collect()}     # one per cluster
+    total = sum(p for _, p in sizes.values())
+    if total > max_points:
+        raise ValueError(f"{total} distinct points; {max_points} are the most whose pairs are compared")
+    if len(sizes) < 2:
+        return None
+    find_package(points.sparkSession)
+    blocks = -(-total // SILHOUETTE_BLOCK)
+    clusters = sorted(sizes)
+    own = distinct.withColumn("own", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.withColumn("other", every)
+    right = pin(own, "silhouette-right").withColumnRenamed("own", "other").withColumn("own", every)
+
+    def apart(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (np.array(t.column("v").to_pylist()) for t in (a, b))
+        if not (len(x) and len(y)):
+            return pa.table({"point": pa.array([], pa.int64()), "sums": pa.array([], pa.list_(pa.float64()))})
+        far = np.sqrt(np.maximum(((x[:, None] - y[None]) ** 2).sum(axis=2), 0)) * b.column("n").to_numpy()[None]
+        of = b.column("cluster").to_numpy()
+        sums = np.stack([far[:, of == c].sum(axis=1) for c in clusters], axis=1)
+        return pa.table({"point": a.column("point"), "sums": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+
+    parts = left.groupBy("own", "other").cogroup(right.groupBy("own", "other")).applyInArrow(
+        apart, "point bigint, sums array<double>")
+    sums = parts.groupBy("point").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(clusters))])
+    joined = distinct.join(sums, "point")
+    inside, outside = F.when(F.lit(False), 0.0), F
+    for i, c in enumerate(clusters):
+        n = sizes[c][0]
+        inside = inside.when(F.col("cluster") == c, F.col(f"s{i}") / max(n - 1, 1))
+        others = [F.col(f"s{j}") / sizes[d][0] for j, d in enumerate(clusters) if d != c]
+        outside = outside.when(F.col("cluster") == c, F.least(*others) if len(others) > 1 else others[0])
+    alone = F.col("cluster").isin([c for c in clusters if sizes[c][0] == 1])
+    shape = F.when(alone, 0.0).otherwise(F.coalesce(
+        F.try_divide(outside - inside, F.greatest(outside, inside)), F.lit(0.0)))
+    return joined.agg((F.sum(shape * F.col("n")) / F.sum("n")).alias("s")).first().s
+
+
 def kmeans_assign(df: DataFrame, k: int = 3, starts: int = 10,
                   features: Sequence[str] = CLUSTER_FEATURES, key: str = CUSTOMER_ID) -> DataFrame:
     """The table with Customer_Cluster, numbered by rising first feature."""
     vectors = cluster_vectors(df, features, df.columns)
-    training = spread(vectors.select(key, "features"), key).select("features").persist(
+    training = spread(pin(vectors.select(key, "features"), "cluster-vectors"), key).select("features").persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:

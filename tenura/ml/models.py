@@ -15,7 +15,7 @@ from tenura.ml.prep import (
     Preprocessor, PreprocessorModel, feature_types, ml_feature_frame, spread, stratified_split,
 )
 from tenura.schema import RANDOM_SEED, TARGET_FLAG
-from tenura.sources.shared import new_path
+from tenura.sources.shared import pin
 
 _COMMON = {"featuresCol": "features", "labelCol": "label"}
 
@@ -75,9 +75,7 @@ def training_vectors(train: DataFrame, key: str = "customerID", label: str = TAR
     numeric, categorical = feature_types(train.drop(*more), key, label)
     prep = Preprocessor(numeric, categorical).fit(train)
     encoded = with_label(prep.transform(train), label).select(key, "label", "features", *more)
-    path = new_path(train.sparkSession, "vectors")
-    spread(encoded, key).write.parquet(path)
-    return prep, spread(train.sparkSession.read.parquet(path), key).persist(StorageLevel.MEMORY_AND_DISK)
+    return prep, spread(pin(encoded, "vectors"), key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_and_predict(df: DataFrame, name: str, **parameters) -> DataFrame:

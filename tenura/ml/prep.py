@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.param import Params
+from pyspark.ml.util import (
+    DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter,
+)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,9 @@ from tenura.operators.percentiles import exact_percentiles
 from tenura.schema import CUSTOMER_ID, ML_EXCLUDED, RANDOM_SEED, TARGET_FLAG
 
 
+SPREAD, SPREAD_ROWS = 8, 250_000  # partitions at least, and rows in one of more
+
+
 def ml_feature_frame(df: DataFrame, excluded: Sequence[str] = ML_EXCLUDED, key: str = CUSTOMER_ID,
                      label: str = TARGET_FLAG) -> DataFrame:
     """Key, label and the columns a model may use; nothing that leaks the label."""
@@ -73,8 +80,9 @@ def standard_scale(df: DataFrame, scales: Mapping[str, tuple[float, float]]) ->
 def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Layout for passes that repeat over the data: dealt by key and sorted, so
     that sampling by partition gives the same on any number of cores. The number
-    of partitions is the session's for shuffles unless it is given."""
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of partitions follows the number of rows unless it is given, so that a model does
+    not depend on the session's settings."""
+    partitions = partitions or max(SPREAD, -(-df.count() // SPREAD_ROWS))
     return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
@@ -90,7 +98,34 @@ def one_hot(columns: Sequence[str]) -> list:
     ]
 
 
-class Preprocessor(Estimator):
+class _Written(MLWriter):
+    """Metadata with a JSON part, and the encoder beside it."""
+
+    def __init__(self, stage: Params, more: dict, encoder: PipelineModel | None = None):
+        super().__init__()
+        self.stage, self.more, self.encoder = stage, more, encoder
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession, extraMetadata={"fitted": self.more})
+        if self.encoder is not None:
+            self.encoder.write().save(f"{path}/encoder")
+
+
+class _Read(MLReader):
+    def __init__(self, stage: type):
+        super().__init__()
+        self.stage = stage
+
+    def load(self, path: str) -> Preprocessor | PreprocessorModel:
+        found = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stage = self.stage(**found["fitted"])
+        stage._resetUid(found["uid"])
+        if self.stage is PreprocessorModel:
+            stage.encoder = PipelineModel.load(f"{path}/encoder")
+        return stage
+
+
+class Preprocessor(Estimator, MLWritable, MLReadable):
     """Median imputation and scaling for numbers, mode imputation and one-hot
     encoding for text, all fitted on the training rows only."""
 
@@ -98,6 +133,13 @@ class Preprocessor(Estimator):
         super().__init__()
         self.numeric, self.categorical = list(numeric), list(categorical)
 
+    def write(self) -> MLWriter:
+        return _Written(self, {"numeric": self.numeric, "categorical": self.categorical})
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Read(cls)
+
     def _fit(self, df: DataFrame) -> PreprocessorModel:
         numeric, categorical = self.numeric, self.categorical
         medians, modes = fit_medians(df, numeric), fit_modes(df, categorical)
@@ -116,12 +158,23 @@ class Preprocessor(Estimator):
         return model
 
 
-class PreprocessorModel(Model):
+class PreprocessorModel(Model, MLWritable, MLReadable):
+    """The fitted constants and encoder; can be written and read like Spark's own
+    models, alone or as a stage of a pipeline."""
+
     def __init__(self, numeric=(), medians=None, modes=None, scales=None):
         super().__init__()
         self.numeric, self.medians, self.modes = list(numeric), medians, modes
         self.scales, self.encoder = scales, None
 
+    def write(self) -> MLWriter:
+        return _Written(self, {"numeric": self.numeric, "medians": self.medians, "modes": self.modes,
+                               "scales": self.scales}, self.encoder)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _Read(cls)
+
     def feature_names(self) -> list[str]:
         """What each place of ``features`` holds: numbers by column, then column=label."""
         indexer = self.encoder.stages[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenura.operators.percentiles import exact_percentiles, modes
-from tenura.functions.columns import mean
+from tenura.functions.columns import mean, without_nan
 from tenura.schema import METRICS, OUTLIER_FEATURES
 
 
@@ -25,13 +25,14 @@ def sample_kurtosis(value: Column, n: Column) -> Column:
 
 
 def distribution_stats(df: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Fifteen figures per metric, one row each."""
+    """Fifteen figures per metric, one row each. NaN counts as missing."""
     cells = []
     for m in metrics:
-        value, n = F.col(m).cast("double"), F.count(m).cast("double")
+        value = without_nan(F.col(m))
+        n = F.count(value).cast("double")
         cells.append(F.struct(
             F.lit(m).alias("metric"),
-            F.count(m).alias("count"),
+            F.count(value).alias("count"),
             mean(m).alias("mean"),
             F.stddev_samp(value).alias("std"),
             F.var_samp(value).alias("variance"),
@@ -65,7 +66,7 @@ def outlier_rows(df: DataFrame, features: Sequence[str] = OUTLIER_FEATURES,
                  key: str = "customerID") -> DataFrame:
     """Each (customer, feature, value) that lies strictly outside its fences."""
     bounds = F.broadcast(iqr_bounds(df, features))   # one row per feature
-    values = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
+    values = df.select(key, *[without_nan(F.col(f)).alias(f) for f in features]).unpivot(
         [key], list(features), "Feature", "value"
     )
     outside = (F.col("value") < F.col("Lower_Bound")) | (F.col("value") > F.col("Upper_Bound"))
@@ -82,7 +83,7 @@ def iqr_outliers(df: DataFrame, features: Sequence[str] = OUTLIER_FEATURES) -> D
             F.lit(f).alias("Feature"),
             *[F.lit(r[c]).alias(c) for c in ("Q1", "Q3", "IQR", "Lower_Bound", "Upper_Bound")],
             F.count_if(
-                (F.col(f) < F.lit(r["Lower_Bound"])) | (F.col(f) > F.lit(r["Upper_Bound"]))
+                (without_nan(F.col(f)) < F.lit(r["Lower_Bound"])) | (without_nan(F.col(f)) > F.lit(r["Upper_Bound"]))
             ).alias("Outlier_Count"),
         )
         for f, r in ((f, fences[f]) for f in features if f in fences)

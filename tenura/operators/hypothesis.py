@@ -7,19 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenura.functions.special import chi_square_p_value, normal_p_value, t_p_value
+from tenura.functions.columns import without_nan
+from tenura.functions.special import chi_square_p_value, rank_sum_p_value, t_p_value
 from tenura.operators.ranking import average_rank, running_counts
 from tenura.schema import CHI_SQUARE_DIMS, TARGET_FLAG, TEST_FEATURES
 
+EXACT_ROWS, EXACT_PAIRS = 8, 100_000
 
 def welch_t(df: DataFrame, features: Sequence[str] = TEST_FEATURES, flag: str = TARGET_FLAG,
             p_value: bool = True) -> DataFrame:
     """Unequal-variance t test; the first sample is the churned one. All
-    features come from a single aggregation."""
+    features come from a single aggregation. NaN counts as missing."""
     cells = []
     for f in features:
         def of(k, f=f):
-            return F.when(F.col(flag) == k, F.col(f).cast("double"))
+            return F.when(F.col(flag) == k, without_nan(F.col(f)))
         cells.append(F.struct(
             F.lit(f).alias("feature"),
             *[a for k in (1, 0) for a in (
@@ -46,13 +48,15 @@ def welch_t(df: DataFrame, features: Sequence[str] = TEST_FEATURES, flag: str =
 
 def mann_whitney(df: DataFrame, features: Sequence[str] = TEST_FEATURES, flag: str = TARGET_FLAG,
                  p_value: bool = True) -> DataFrame:
-    """Rank-sum test with tie and continuity correction (asymptotic form).
+    """Rank-sum test. The p-value is exact where one sample has at most EXACT_ROWS
+    rows, no values tie and the product of the sizes is at most EXACT_PAIRS; else it is
+    the normal one with tie and continuity correction, whose ``z`` is always given.
 
-    Ranks depend only on the counts per distinct value, so rows collapse to
+    NaN counts as missing. Ranks depend only on the counts per distinct value, so rows collapse to
     those before anything is ordered.
     """
     labelled = df.where(F.col(flag).isin(0, 1)).select(
-        F.col(flag).alias("_flag"), *[F.col(f).cast("double").alias(f) for f in features]
+        F.col(flag).alias("_flag"), *[without_nan(F.col(f)).alias(f) for f in features]
     )
     long = labelled.unpivot(["_flag"], list(features), "feature", "value")
     counts = running_counts(long, ["value"], ["feature"], {
@@ -72,10 +76,12 @@ def mann_whitney(df: DataFrame, features: Sequence[str] = TEST_FEATURES, flag: s
     result = sums.withColumn("U", F.col("rank_sum") - n1 * (n1 + 1) / 2).select(
         "feature", "n1", "n0", "U",
         F.try_divide(larger - n1 * n0 / 2 - 0.5, F.sqrt(variance)).alias("z"),
+        ((F.least(n1, n0) <= EXACT_ROWS) & (F.least(n1, n0) > 0) & (n1 * n0 <= EXACT_PAIRS)
+         & (F.col("ties") == 0)).alias("_exact"),
     )
     if p_value:
-        result = result.withColumn("p_value", normal_p_value()("z"))
-    return result
+        result = result.withColumn("p_value", rank_sum_p_value()("U", "n1", "n0", "z", "_exact"))
+    return result.drop("_exact")
 
 
 def expected_counts(df: DataFrame, dims: Sequence[str] = CHI_SQUARE_DIMS,

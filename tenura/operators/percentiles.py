@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenura.functions.columns import without_nan
 from tenura.operators.ranking import running_counts
 
 ACCURACY = 2000          # the sketch is within 1/ACCURACY of the wanted rank
@@ -25,8 +26,8 @@ WINDOW_VALUES = 2_000_000  # distinct values one window may sort
 
 
 def long_metrics(df: DataFrame, metrics: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Rows of (groups, metric, value) without the nulls."""
-    doubles = df.select(*groups, *[F.col(m).cast("double").alias(m) for m in metrics])
+    """Rows of (groups, metric, value) without null and NaN."""
+    doubles = df.select(*groups, *[without_nan(F.col(m)).alias(m) for m in metrics])
     return doubles.unpivot(list(groups), list(metrics), "metric", "value").dropna(subset="value")
 
 
@@ -35,7 +36,7 @@ def _brackets(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
     """Per group and metric, the lower and then the upper bracket ends; None
     when there are too many groups to hand them to every task."""
     ends = [max(0.0, p - SLACK) for p in probs] + [min(1.0, p + SLACK) for p in probs]
-    doubles = {m: F.col(m).cast("double") for m in metrics}
+    doubles = {m: without_nan(F.col(m)) for m in metrics}
     sketches = df.groupBy(*groups).agg(
         *[F.percentile_approx(c, ends, ACCURACY).alias(m) for m, c in doubles.items()],
         F.greatest(F.lit(0), *[F.count(c) for c in doubles.values()]).alias("_rows"),
@@ -78,7 +79,7 @@ def _collapsed_rows(df: DataFrame, metrics: Sequence[str], k: int, groups: Seque
         ends = {m: [f"double('{v}')" for v in row[m] or [0.0] * (2 * k)] for m in metrics}
     cells = []
     for m in metrics:
-        kept, gap = _collapse(f"double(`{m}`)", ends[m])
+        kept, gap = _collapse(f"nanvl(double(`{m}`), double(NULL))", ends[m])
         cells.append(f"struct('{m}' AS metric, {kept} AS value, {gap} AS gap)")
     return df.select(*groups, F.expr(f"inline(array({', '.join(cells)}))")).dropna(subset="value")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenura.functions.columns import without_nan
 from tenura.operators.percentiles import exact_percentiles
 from tenura.schema import CUSTOMER_ID, RANDOM_SEED
 
@@ -66,15 +67,15 @@ def profile_nunique(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def profile_describe(df: DataFrame) -> DataFrame:
-    """One row per column. Text columns have unique, top (the smallest of ties)
+    """One row per column; NaN counts as missing. Text columns have unique, top (the smallest of ties)
     and freq; numeric ones have mean, std, quartiles and extremes."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
     textual = [c for c in df.columns if c not in numeric]
 
     def cell(c: str) -> Column:
-        value = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+        value = without_nan(F.col(c)) if c in numeric else F.lit(None).cast("double")
         return F.struct(
-            F.lit(c).alias("column_name"), F.count(c).alias("count"),
+            F.lit(c).alias("column_name"), F.count(value if c in numeric else c).alias("count"),
             F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
             F.min(value).alias("min"), F.max(value).alias("max"),
         )
@@ -82,14 +83,16 @@ def profile_describe(df: DataFrame) -> DataFrame:
     moments = df.agg(F.array(*[cell(c) for c in df.columns]).alias("cells")).select(
         F.inline("cells")
     )
-    values = column_values(df.select(*textual)).where(F.col("value").isNotNull())
+    # A table without text has no values to count.
+    values = column_values(df.select(*(textual or [F.lit(None).alias("")]))).where(F.col("value").isNotNull())
     frequency = values.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("unique"),
         F.min(F.struct((-F.col("n")).alias("minus"), "value")).alias("best"),
     ).select("column_name", "unique", F.col("best.value").alias("top"),
              (-F.col("best.minus")).alias("freq"))
     quartiles = exact_percentiles(
-        df, numeric, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"]
+        df if numeric else df.select(F.lit(None).cast("double").alias("")), numeric or [""],
+        [0.25, 0.5, 0.75], names=["p25", "p50", "p75"]
     ).withColumnRenamed("metric", "column_name")
     return moments.join(frequency, "column_name", "left").join(
         quartiles, "column_name", "left"

@@ -17,14 +17,15 @@ from tenura import schema as S
 from tenura.functions.columns import significant
 from tenura.ml import cluster, metrics, prep, reweighted, validation
 from tenura.operators import (
-    clean, correlation, distribution, features, hypothesis, kpis, profile, quality, ranking,
-    segments,
+    clean, correlation, cubes, distribution, features, hypothesis, kpis, profile, quality, ranking,
+    segments, sketches,
 )
 from tenura.plans import sqlsuite
 from tenura.plans.pipelines import clean_pipeline, feature_pipeline
 from tenura.plans.workspace import Workspace, workspace
 from tenura.sources import subscribers as source
-from tenura.sources.shared import new_path
+from tenura.sources import versions
+from tenura.sources.shared import new_path, pin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +71,69 @@ def _scan_csv(w: Workspace) -> DataFrame:
     return source.read_csv(w.spark, path)
 
 
+BROKEN = """CASE CAST(customerID AS INT) % 10
+    WHEN 1 THEN regexp_replace(line, ',[^,]*$', '') WHEN 2 THEN concat(line, ',more')
+    WHEN 3 THEN concat('"', line) ELSE line END"""
+
+
+def _rescued(w: Workspace) -> tuple[DataFrame, DataFrame]:
+    """A delivery as text: some lines short, long or with a broken quote, and whole
+    numbers written with a zero after the point."""
+    texts = [F.concat(F.col("tenure").cast("string"), F.lit(".0")) if c == "tenure" else F.coalesce(
+        F.col(c).cast("string"), F.lit("")) for c in S.RAW_COLUMNS]
+    lines = w.subscribers.select("customerID", F.concat_ws(",", *texts).alias("line"))
+    path = new_path(w.spark, "delivery-text")
+    header = w.spark.createDataFrame([(",".join(S.RAW_COLUMNS),)], "value string")
+    header.unionByName(lines.select(F.expr(BROKEN).alias("value"))).write.text(path)
+    return source.rescue_csv(w.spark, path)
+
+
+def _rescued_reasons(w: Workspace) -> DataFrame:
+    kept, quarantined = _rescued(w)
+    return quarantined.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        kept.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n")))
+
+
+def _versioned(w: Workspace) -> DataFrame:
+    path = new_path(w.spark, "report-versions")
+    versions.write_version(segments.churn_rate_by(w.features, "PaymentMethod"), path)
+    versions.write_version(segments.churn_rate_by(w.features, "Contract"), path)
+    return versions.read_version(w.spark, path)
+
+
+def _replaced_parts(w: Workspace) -> DataFrame:
+    """Counts per contract and part of the customers; one part is written again."""
+    path = new_path(w.spark, "report-parts")
+    rows = w.features.select(F.pmod(F.col("customerID").cast("int"), F.lit(4)).alias("part"), "Contract")
+    counts = rows.groupBy("part", "Contract").agg(F.count(F.lit(1)).alias("n"))
+    versions.write_parts(counts, path, ["part"])
+    versions.write_parts(counts.where("part = 1").withColumn("n", F.col("n") + 1000), path, ["part"])
+    return w.spark.read.schema("Contract string, n bigint, part int").parquet(path)
+
+
+def _approximate(w: Workspace) -> DataFrame:
+    """Quantiles of all customers per contract, merged from the states of eight deliveries."""
+    rows = w.features.withColumn("delivery", F.pmod(F.col("customerID").cast("int"), F.lit(8)))
+    states = pin(sketches.quantile_states(rows, S.METRICS, ["delivery", "Contract"]), "quantile-states")
+    merged = sketches.merge_states(states, ["Contract"])
+    return six_places(sketches.read_quantiles(merged, ["Contract"], [0.05, 0.25, 0.5, 0.75, 0.95]),
+                      "p5", "p25", "p50", "p75", "p95")
+
+
+def _repeating(w: Workspace) -> DataFrame:
+    """Subscribers of which some come twice, once with another contract."""
+    again = w.features.where(F.col("customerID").cast("int") % 4 == 0)
+    moved = F.when(F.col("customerID").cast("int") % 8 == 0, "Two year").otherwise(F.col("Contract"))
+    return w.features.unionByName(again.withColumn("Contract", moved))
+
+
+def _stored_preprocessing(w: Workspace) -> DataFrame:
+    frame = prep.ml_feature_frame(w.features)
+    path = new_path(w.spark, "preprocessor")
+    prep.Preprocessor(*prep.feature_types(frame)).fit(frame).write().save(path)
+    return _feature_values(prep.PreprocessorModel.load(path), frame)
+
+
 def _chart_table(w: Workspace) -> DataFrame:
     path = new_path(w.spark, "chart-churn-by-contract")
     source.write_report(segments.churn_rate_by(w.features, "Contract"), path)
@@ -129,7 +193,10 @@ def _one_hot(w: Workspace) -> DataFrame:
 def _preprocessed(w: Workspace) -> DataFrame:
     """Every number and every one that is set in the vectors, by name."""
     frame = prep.ml_feature_frame(w.features)
-    model = prep.Preprocessor(*prep.feature_types(frame)).fit(frame)
+    return _feature_values(prep.Preprocessor(*prep.feature_types(frame)).fit(frame), frame)
+
+
+def _feature_values(model: prep.PreprocessorModel, frame: DataFrame) -> DataFrame:
     names, n = model.feature_names(), len(model.numeric)
     values = model.transform(frame).select("customerID", F.posexplode(vector_to_array("features")).alias("i", "v"))
     named = values.where((F.col("i") < n) | (F.col("v") != 0))
@@ -191,6 +258,15 @@ def _builders() -> dict[str, Callable[[Workspace], DataFrame]]:
     q["scan_subscribers"] = _scan_csv
     q["report_json"] = lambda w: kpis.report_json(kpis.business_report(w.features, w.unique_ids))
     q["report_json_fields"] = _report_fields
+    q["scan_rescued"] = lambda w: source.as_declared(_rescued(w)[0])
+    q["scan_rescued_reasons"] = _rescued_reasons
+    q["report_versions"] = _versioned
+    q["report_parts"] = _replaced_parts
+    q["quantiles_merged"] = _approximate
+    q["kpi_cube_repeating"] = lambda w: amounts(cubes.cube_from_states(cubes.kpi_states(_repeating(w))))
+    q["kpi_cards_repeating"] = lambda w: amounts(
+        cubes.cards_from_states(cubes.kpi_states(_repeating(w)), CARD_FILTERS))
+    q["preprocess_stored"] = _stored_preprocessing
     q["chart_table_sink"] = _chart_table
 
     # profiling, on the raw delivery

@@ -704,6 +704,10 @@ k AS (SELECT label, COALESCE(hit / NULLIF(called, 0), 0) AS a, COALESCE(hit / NU
              COALESCE(2 * hit / NULLIF(called + support, 0), 0) AS f, support, hit
       FROM (SELECT '0' AS label, tn AS hit, tn + fn AS called, tn + fp AS support FROM c
             UNION ALL SELECT '1', tp, tp + fp, tp + fn FROM c))"""
+    twice = """, twice AS (SELECT * FROM feat UNION ALL
+  SELECT * REPLACE (CASE WHEN CAST(customerID AS INT) % 8 = 0 THEN 'Two year' ELSE Contract END AS Contract)
+  FROM feat WHERE CAST(customerID AS INT) % 4 = 0)"""
+    metrics = _union([f"SELECT Contract, '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM feat" for m in S.METRICS])
     e = eight_places
     weighted = ", ".join(f"{e(f'SUM({x} * support) / SUM(support)')}" for x in "abf")
     return {
@@ -728,6 +732,27 @@ SELECT CASE WHEN tenure <= 24 THEN 0 WHEN tenure <= 48 THEN 1 ELSE 2 END AS Cust
        {mean('Service_Count')} AS Avg_Service_Count, {_RATE} AS Churn_Rate, {total('Revenue_Lost')} AS Revenue_Lost
 FROM feat GROUP BY 1"""),
         "report_json_fields": on_features(_REPORT),
+        "scan_rescued": on_raw(f"SELECT {RAW} FROM subscribers WHERE CAST(customerID AS INT) % 10 NOT IN (1, 2, 3)"),
+        "scan_rescued_reasons": on_raw(f"""
+SELECT CASE CAST(customerID AS INT) % 10 WHEN 1 THEN 'too few fields: {len(S.RAW_COLUMNS) - 1}'
+            WHEN 2 THEN 'too many fields: {len(S.RAW_COLUMNS) + 1}' WHEN 3 THEN 'broken quotes' ELSE 'kept' END AS reason,
+       COUNT(*) AS n FROM subscribers GROUP BY 1"""),
+        "report_versions": _churn_rate_by("Contract"),
+        "report_parts": on_features("""
+SELECT CAST(CAST(customerID AS INT) % 4 AS INT) AS part, Contract,
+       COUNT(*) + CASE WHEN CAST(customerID AS INT) % 4 = 1 THEN 1000 ELSE 0 END AS n
+FROM feat GROUP BY CAST(customerID AS INT) % 4, Contract"""),
+        "quantiles_merged": on_features(f"""
+SELECT Contract, metric, n, {', '.join(six_places(f"MAX(CASE WHEN i = GREATEST(1, CAST(CEIL(n * {p}E-2) AS BIGINT)) THEN v END)")
+                                       + f' AS p{p}' for p in (5, 25, 50, 75, 95))}
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY Contract, metric ORDER BY v) AS i,
+             COUNT(*) OVER (PARTITION BY Contract, metric) AS n FROM ({metrics}) WHERE v IS NOT NULL)
+GROUP BY Contract, metric, n"""),
+        "kpi_cube_repeating": on_features(
+            "SELECT Partner, Contract, gender, CAST(GROUPING(Partner, Contract, gender) AS BIGINT) AS level, "
+            f"{_cards()} FROM twice GROUP BY CUBE (Partner, Contract, gender)", twice),
+        "kpi_cards_repeating": on_features(
+            f"SELECT {_cards()} FROM twice WHERE Partner IN ('Yes') AND Contract IN ('Month-to-month', 'One year')", twice),
     }
 
 
@@ -797,6 +822,13 @@ FROM t""", f", t AS ({texts})"),
             f"ON m.column_name = t.column_name UNION ALL {numbers}",
             f", t AS ({texts})"
         ),
+        "preprocess_stored": on_features(
+            f"SELECT customerID, t.column_name || '=' || COALESCE(v, top) AS feature, 1.0E0 AS value FROM t "
+            f"JOIN (SELECT column_name, FIRST(v ORDER BY n DESC, v) AS top FROM (SELECT column_name, v, COUNT(*) AS n "
+            f"FROM t WHERE v IS NOT NULL GROUP BY column_name, v) GROUP BY column_name) m "
+            f"ON m.column_name = t.column_name UNION ALL {numbers}",
+            f", t AS ({texts})"
+        ),
         "stratified_split": on_features(
             "SELECT customerID, Churn_Flag, CASE WHEN i > ROUND(n_all * 0.2E0) THEN 'train' ELSE 'test' END AS part FROM o",
             ordered,

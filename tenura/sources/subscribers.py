@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenura.functions.columns import to_number
 from tenura.schema import RAW_COLUMNS, RAW_SCHEMA
 
 
@@ -16,6 +19,39 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def rescue_csv(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) of a headed CSV whose records are single lines.
+
+    Kept rows are all text, so that what a number column holds (``12.0`` in a whole
+    number, say) survives until it is cleaned; see ``as_declared``. A line that has an odd
+    number of quotes, or other than one field per column, is quarantined as (file,
+    line, reason). Lines equal to the header are left out wherever they stand, and so
+    are blank ones; every other line is in exactly one of the two."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    bare = F.regexp_replace("value", r'"(?:[^"]|"")*"', "q")
+    n = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    reason = F.when(quotes % 2 == 1, F.lit("broken quotes")).when(
+        n < len(columns), F.concat(F.lit("too few fields: "), n.cast("string"))).when(
+        n > len(columns), F.concat(F.lit("too many fields: "), n.cast("string")))
+    header = ",".join(columns)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    lines = lines.where((F.trim("value") != "") & (F.replace("value", F.lit('"')) != header)).withColumn("reason", reason)
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    options = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    parsed = F.from_csv("value", schema, options)
+    kept = lines.where("reason IS NULL").select(parsed.alias("r")).select("r.*")
+    return kept, lines.where("reason IS NOT NULL").select("file", F.col("value").alias("line"), "reason")
+
+
+def as_declared(text: DataFrame) -> DataFrame:
+    """Text columns as the declared types; a whole number may be written with zeros
+    after the point. What can't be read is null."""
+    types = {f.name: f.dataType.simpleString() for f in RAW_SCHEMA}
+    return text.select(*[
+        F.col(c) if types[c] == "string" else to_number(F.col(c), types[c]).alias(c) for c in text.columns
+    ])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(
         path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False

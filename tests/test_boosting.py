@@ -42,7 +42,7 @@ def plain_rounds(codes, y, rounds, depth, step):
 
 def test_rounds_equal_numpy(spark, monkeypatch):
     monkeypatch.setattr(boosting, "WRITTEN", 3)
-    x, y = sample(240, 4)
+    x, y = sample(240, 5)
     df = as_rows(spark, x, y)
     model = boosting.NewtonBoosting(rounds=7, depth=2, step=0.3).fit(df)
     codes = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(model.edges)], axis=1)
