@@ -107,22 +107,26 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     Equal vectors collapse to one node with a number of copies, large buckets
     are cut into blocks, and groups give counts and a spanning tree instead
     of their pairs. Null or zero vectors and those with null or non-finite
-    components link with nothing and are their own component. An id counts
-    once (see ``byte_vectors``); a null id has no component and is not kept.
+    components link with nothing and are their own component. Rows equal in id and
+    vector are one row; an id with several vectors has a row for each. A row with
+    a null id links with nothing, has no component and is not kept.
     """
     rows = pin(byte_vectors(df, id_col, vector_col, keep_zero=False), f"{name}-rows")
-    nodes = rows.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    nodes = pin(nodes, f"{name}-nodes")
+    nodes = rows.filter("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("smallest"), F.count("*").alias("copies"))
+    nodes = pin(nodes.withColumn("node", F.monotonically_increasing_id()), f"{name}-nodes")
     dealt = in_blocks(_keyed(nodes, tables, bits), ["key"], "node", BLOCK, f"{name}-large")
     found = pin(_links(dealt, least), f"{name}-links")
     roots = connected_components(found.filter("other IS NOT NULL").select("node", "other"), f"{name}-components")
     counted = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     marked = (
         nodes.join(counted, "node", "left").join(roots, F.col("node") == F.col("id"), "left")
-        .select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("component", "node").alias("component_id"))
+        .select("vec", "smallest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                F.coalesce("component", "node").alias("root"))
     )
-    joined = rows.join(pin(marked, f"{name}-marked"), "vec", "left")
+    marked = pin(marked, f"{name}-marked")
+    named = marked.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    named = pin(marked.join(named, "root").select("vec", "n_links", "component_id"), f"{name}-named")
+    joined = rows.join(named, "vec", "left")
     own = F.coalesce("component_id", "id")
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"),
                          F.coalesce(F.col("id") == own, F.lit(False)).alias("kept"))

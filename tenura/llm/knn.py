@@ -45,12 +45,12 @@ def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
             apart = _apart(values, pivots)
             cell = apart.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int32)),
+                [*batch.columns, pa.array(cell.astype(np.int32)),
                  pa.array(apart[np.arange(len(cell)), cell]), pa.array(np.linalg.norm(values, axis=1))],
-                ["id", "vec", "asks", "cell", "apart", "norm"])
+                ["id", "vec", "row", "asks", "cell", "apart", "norm"])
 
-    return map_batches(rows.select("id", "vec", "asks"), task,
-                       "id bigint, vec binary, asks boolean, cell int, apart double, norm double")
+    return map_batches(rows.select("id", "vec", "row", "asks"), task,
+                       "id bigint, vec binary, row bigint, asks boolean, cell int, apart double, norm double")
 
 
 def _nearest_distances(cells: DataFrame, k: int) -> DataFrame:
@@ -72,7 +72,7 @@ def _nearest_distances(cells: DataFrame, k: int) -> DataFrame:
 
 
 def _needed(queries: DataFrame, pivots: np.ndarray, summary: list, k: int) -> DataFrame:
-    """(id, vec, cells): the cells that may hold one of the query's results."""
+    """(id, vec, row, cells): the cells that may hold one of the query's results."""
     numbers = np.array([s.cell for s in summary])
     centre = pivots[numbers]
     length = np.linalg.norm(centre, axis=1)
@@ -100,30 +100,33 @@ def _needed(queries: DataFrame, pivots: np.ndarray, summary: list, k: int) -> Da
                 else:
                     reached = np.full((len(values), 1), -np.inf)
                 out += [numbers[x].tolist() for x in most >= reached]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))],
-                                             ["id", "vec", "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))],
+                                             ["id", "vec", "row", "cells"])
 
-    return map_batches(queries.select("id", "vec"), task, "id bigint, vec binary, cells array<int>")
+    return map_batches(queries.select("id", "vec", "row"), task, "id bigint, vec binary, row bigint, cells array<int>")
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int):
-    """(query id, id, score) arrays of each query's k best in a block: by score,
-    then smaller id, never itself. Integer vectors; sums are exact."""
+def best_of_block(queries: np.ndarray, query_rows: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int,
+                  rows: np.ndarray | None = None):
+    """(query row, id, score) arrays of each query's k best in a block: by score, then
+    smaller id, never its own row (``rows`` are the ids if not given). Integer
+    vectors; sums are exact."""
     order = np.argsort(ids, kind="stable")
+    rows = (ids if rows is None else rows)[order]
     data, ids = data[order], ids[order]
     if np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * data.shape[1] < EXACT:
         scores = (queries @ data.T).astype(np.int64)
     else:
         scores = queries.astype(np.int64) @ data.astype(np.int64).T
     lowest = np.iinfo(np.int64).min
-    scores[query_ids[:, None] == ids[None]] = lowest
+    scores[query_rows[:, None] == rows[None]] = lowest
     take = min(k, len(ids))
     bound = np.partition(scores, len(ids) - take, axis=1)[:, len(ids) - take]
     found = []
     for row, score in enumerate(scores):
         at = np.flatnonzero((score >= bound[row]) & (score > lowest))
         at = at[np.argsort(-score[at], kind="stable")][:k]
-        found.append((np.full(len(at), query_ids[row]), ids[at], score[at]))
+        found.append((np.full(len(at), query_rows[row]), ids[at], score[at]))
     return [np.concatenate(x) for x in zip(*found)]
 
 
@@ -133,13 +136,13 @@ def _solved(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def solve(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty(0, dtype=np.int64)] * 3
         if len(asked) and len(rows):
-            out = best_of_block(stacked(pa.array(asked["vec"])), asked["id"].to_numpy(),
-                                stacked(pa.array(rows["vec"])), rows["id"].to_numpy(), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out)))
+            out = best_of_block(stacked(pa.array(asked["vec"])), asked["row"].to_numpy(),
+                                stacked(pa.array(rows["vec"])), rows["id"].to_numpy(), k, rows["row"].to_numpy())
+        return pd.DataFrame(dict(zip(("query", "vec_id", "score"), out)))
 
     keys = ["cell", "part", "lot"]
     return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
-        solve, "query_id bigint, vec_id bigint, score bigint")
+        solve, "query bigint, vec_id bigint, score bigint")
 
 
 def _lots(counts: dict[int, int], size: int, column: str) -> Column:
@@ -149,7 +152,7 @@ def _lots(counts: dict[int, int], size: int, column: str) -> Column:
 
 
 def _one_length(rows: DataFrame, k: int, name: str) -> DataFrame:
-    sample = rows.select("vec").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    sample = rows.select("vec").orderBy(F.xxhash64("id"), "id", "vec").limit(PIVOTS).collect()
     pivots = np.unique(np.frombuffer(b"".join(r.vec for r in sample), dtype="<f8").reshape(len(sample), -1), axis=0)
     cells = pin(_assigned(rows, pivots), f"{name}-cells")
     summary = (
@@ -158,17 +161,17 @@ def _one_length(rows: DataFrame, k: int, name: str) -> DataFrame:
         .join(_nearest_distances(cells, k), "cell").collect()
     )
     asked = pin(_needed(cells.filter("asks"), pivots, summary, k), f"{name}-asked")
-    sent = asked.select("id", "vec", F.explode("cells").alias("cell"))
+    sent = asked.select("id", "vec", "row", F.explode("cells").alias("cell"))
     queries_in = {r.cell: r["count"] for r in sent.groupBy("cell").count().collect()}
     parts = _lots({s.cell: s.rows for s in summary}, DATA_BLOCK, "cell")
     lots = _lots(queries_in, QUERY_BLOCK, "cell")
-    hashed = F.xxhash64("id")
+    hashed = F.xxhash64("row")
     queries = (
         sent.withColumn("lot", F.pmod(hashed, lots).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     )
     data = (
-        cells.select("id", "vec", "cell").filter(F.col("cell").isin(list(queries_in)))
+        cells.select("id", "vec", "row", "cell").filter(F.col("cell").isin(list(queries_in)))
         .withColumn("part", F.pmod(hashed, parts).cast("int"))
         .withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1)))
     )
@@ -184,20 +187,23 @@ def top_k(df: DataFrame, asks: Column, id_col: str = "vec_id", vector_col: str =
     ``asks`` is a condition on ``id``. Results are exact for scores within a
     bigint. Vectors that are null, empty, or hold null or non-finite components,
     and rows without id, take no part; vectors of different lengths have no inner
-    product and are searched apart. An id counts once (see ``byte_vectors``).
+    product and are searched apart. Rows equal in id and vector count once; an id with
+    several vectors asks and is found with each, its own row excepted.
     A cell with many rows or queries is cut into blocks.
     """
     vectors = byte_vectors(df, id_col, vector_col, scaled).filter("vec IS NOT NULL")
-    rows = pin(vectors.withColumn("asks", F.coalesce(asks, F.lit(False))), f"{name}-rows")
+    rows = vectors.withColumn("asks", F.coalesce(asks, F.lit(False)))
+    rows = pin(rows.withColumn("row", F.monotonically_increasing_id()), f"{name}-rows")
     found = None
     for size, in rows.select(F.length("vec")).distinct().collect():
         part = _one_length(rows.filter(F.length("vec") == size), k, name)
         found = part if found is None else found.union(part)
     if found is None:
-        found = df.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = df.sparkSession.createDataFrame([], "query bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    names = rows.filter("asks").select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    return ranked.join(names, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op2_exact_top_k(spark, data_dir: str) -> DataFrame:

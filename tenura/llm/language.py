@@ -9,6 +9,7 @@ as long as that improves the penalised likelihood.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,8 @@ UNDECIDED = "und"
 BUCKETS = 1 << 16  # hashed trigrams; bounds the model per language
 SMOOTHING = 0.5
 WORD = re.compile(r"[^\W\d_]+")
-PIECE = 1 << 18  # characters handled at a time while counting
+PIECE = 1 << 18  # characters of a text handled at a time
+WORDS = 1 << 14  # words whose likelihoods are looked up at a time
 SPREAD = 30.0  # largest log ratio of a word's likelihoods that counts
 STEPS = 40
 
@@ -40,8 +42,24 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashed, starts - np.arange(len(starts))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def pieces_of(text: str | None) -> Iterator[list[str]]:
+    """The words of a text, a stretch of about PIECE characters at a time. A stretch
+    ends where a word does."""
+    start, end = 0, len(text or "")
+    while start < end:
+        stop = min(end, start + PIECE)
+        inside = WORD.match(text, stop - 1) if stop < end else None
+        stop = inside.end() if inside else stop
+        yield WORD.findall(text[start:stop].lower())
+        start = stop
+
+
+def words_of(text: str | None) -> dict[str, int]:
+    """Distinct words and how often they come."""
+    counts: Counter[str] = Counter()
+    for words in pieces_of(text):
+        counts.update(words)
+    return counts
 
 
 @dataclass
@@ -50,21 +68,26 @@ class Model:
     logs: np.ndarray  # (languages, BUCKETS)
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
-        """(words, languages) log likelihoods."""
-        hashed, starts = trigrams(words)
-        return np.add.reduceat(self.logs[:, hashed], starts, axis=1).T
-
-    def shares(self, words: list[str]) -> np.ndarray:
+        """(words, languages) log likelihoods; WORDS words at a time, as each of their
+        bytes is looked up in every language."""
+        found = []
+        for at in range(0, len(words), WORDS):
+            hashed, starts = trigrams(words[at:at + WORDS])
+            found.append(np.add.reduceat(self.logs[:, hashed], starts, axis=1).T)
+        return np.concatenate(found)
+
+    def shares(self, words: dict[str, int]) -> np.ndarray:
         """Share of each language; zero for those that aren't in the set."""
-        logs = self.likelihoods(words)
+        logs = self.likelihoods(list(words))
+        times = np.fromiter(words.values(), np.float64, len(words))
         ratio = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -SPREAD))
         chosen = np.arange(len(self.languages))
-        share, fit = mixture(ratio)
+        share, fit = mixture(ratio, times)
         # One more language costs its share, and a name out of all languages.
-        cost = 0.5 * np.log(len(words)) + np.log(len(self.languages))
+        cost = 0.5 * np.log(times.sum()) + np.log(len(self.languages))
         while len(chosen) > 1:
             rest = np.delete(np.arange(len(chosen)), share.argmin())
-            less, less_fit = mixture(ratio[:, chosen[rest]])
+            less, less_fit = mixture(ratio[:, chosen[rest]], times)
             if less_fit + cost < fit:
                 break
             chosen, share, fit = chosen[rest], less, less_fit
@@ -81,18 +104,19 @@ class Model:
         return self.languages[best], min(1.0, float(shares[best]))
 
 
-def mixture(ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shares by expectation maximisation, and the log likelihood."""
-    n, k = ratio.shape
+def mixture(ratio: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shares by expectation maximisation, and the log likelihood, of distinct words
+    that come so many times."""
+    n, k = times.sum(), ratio.shape[1]
     share = np.full(k, 1 / k)
     if k > 1:
         for _ in range(STEPS):
-            moved = share * (ratio.T @ (1 / (ratio @ share))) / n
+            moved = share * (ratio.T @ (times / (ratio @ share))) / n
             done = np.abs(moved - share).max() < 1e-4
             share = moved / moved.sum()
             if done:
                 break
-    return share, float(np.log(ratio @ share).sum())
+    return share, float(times @ np.log(ratio @ share))
 
 
 def trigram_counts(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
@@ -109,9 +133,10 @@ def trigram_counts(docs: DataFrame, text: Column, lang: Column) -> DataFrame:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, language in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = words_of(text.as_py())
-                for at in range(0, len(words), PIECE):
-                    hashed, _ = trigrams(words[at:at + PIECE])
+                for words in pieces_of(text.as_py()):
+                    if not words:
+                        continue
+                    hashed, _ = trigrams(words)
                     found = np.bincount(hashed, minlength=BUCKETS)
                     counts[language] = counts[language] + found if language in counts else found
                 if len(counts) > 100:

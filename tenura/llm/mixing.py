@@ -157,15 +157,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tok
                           (word_count(F.col("text")) if tokens is None else tokens).alias("__tokens"))
     plan = mixing_plan(pin(counted, f"{name}-counted"), entropy, max_repeats, budget, seed, name)
     plan = plan.select("__source", "__blocks", "repeats", "epochs", "left", "end_block", "end_doc")
-    rows = docs.select(*keep, source.alias("__source")).join(plan, "__source")
+    # The columns of a document travel as one, so that none clashes with the plan's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), F.col(id_col).alias("__id"),
+                       source.alias("__source")).join(plan, "__source")
     each = F.explode(F.sequence(F.lit(0), F.col("epochs")))
-    rows = _parts(rows.withColumn("__epoch", each), id_col, seed, F.col("__epoch"))
+    rows = _parts(rows.withColumn("__epoch", each), "__id", seed, F.col("__epoch"))
     before = F.coalesce(F.col("__outer") < F.col("end_block"), F.col("left") > 0)
     inside = (F.col("__outer") == F.col("end_block")) & (F.col("__inner") <= F.col("end_doc"))
     part = (F.col("__epoch") < F.col("epochs")) | ((F.col("left") > 0) & (before | F.coalesce(inside, F.lit(False))))
     unit = (F.col("__outer") / 2.0**64 + 0.5) + F.col("__inner") / 2.0**64 / F.col("__blocks")
     position = F.least(F.greatest((F.col("__epoch") + unit) / F.greatest("repeats", F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
-    return rows.filter(part).select(*keep, F.col("__epoch").alias("epoch"), position.alias("position"))
+    return rows.filter(part).select("__doc.*", F.col("__epoch").alias("epoch"), position.alias("position"))
 
 
 def op10_source_mix(spark, data_dir: str) -> DataFrame:

@@ -209,7 +209,8 @@ def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False,
                  count_col: str | None = None) -> DataFrame:
     """``docs`` with private data in ``text_col`` replaced; ``count_col`` names a new
-    column with the number of replaced values (0 for null text).
+    column with the number of replaced values (0 for null text), in place of one
+    of that name.
 
     With ``inverse`` pseudonyms turn back to the values, e-mail addresses in
     lower case; numeric day-first dates with slashes may not. Null stays null,
@@ -217,18 +218,17 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     number that fails its validation isn't replaced."""
     text, pattern = F.col(text_col), F.lit(_any())
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, _any(), -1)
     changed = F.transform(F.col("__found"), lambda m: pseudonym(m, key, inverse))
     pieces = F.zip_with(F.col("__gaps"), F.col("__new"), lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
     likely = text.rlike("[0-9@]")
     none = F.array().cast("array<string>")
-    rows = (
-        docs.withColumn("__found", F.when(likely, found).otherwise(none))
-        .withColumn("__new", F.when(F.size("__found") > 0, changed).otherwise(none))
-        .withColumn("__gaps", F.when(F.size("__found") > 0, gaps))
-    )
-    new_text = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text)
-    columns = [new_text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    # The columns of a row travel as one, so that none clashes with the ones added here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                       F.when(likely, found).otherwise(none).alias("__found"), text.alias("__text"))
+    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, changed).otherwise(none)).withColumn(
+        "__gaps", F.when(F.size("__found") > 0, F.split(F.col("__text"), _any(), -1)))
+    new_text = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(F.col("__text"))
+    columns = [(new_text if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns if c != count_col]
     if count_col:
         pairs = F.zip_with("__found", "__new", lambda a, b: (a != b).cast("int"))
         columns.append(F.aggregate(pairs, F.lit(0), lambda a, b: a + b).cast("bigint").alias(count_col))

@@ -189,10 +189,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels (16 bytes each) are broadcast; only their documents are measured."""
     chosen = (
         labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-        .orderBy(F.xxhash64("__id"), "__id", "label").limit(sample)
+        .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+        .orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     )
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").select("label", "text")
     found = _measured(rows).toArrow().combine_chunks()
     values = np.array(found.column("values").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort(np.c_[values, found.column("label").to_numpy()].T)  # the same fit however rows arrive
@@ -201,7 +202,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Additive, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns of every row with ``score`` (0 to 1) and ``predicted``
-    (1 from 0.5). Null, empty and blank texts are scored as texts of length 0."""
+    (1 from 0.5), which replace kept columns of such a name. Null, empty and blank
+    texts are scored as texts of length 0."""
+    keep = [c for c in keep if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows, at, kept = with_text(docs, keep, text_col)
 

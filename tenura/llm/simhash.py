@@ -196,12 +196,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def name_groups(prints: DataFrame, nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """``prints`` with the component_id of each row: the smallest id of all nodes that ``edges`` join."""
+    """``prints`` with the component_id of each row, the smallest id of all nodes that
+    ``edges`` join, and their root."""
     roots = connected_components(edges, f"{name}-components")
     member = nodes.select("node", "smallest").join(roots, F.col("node") == F.col("id"), "left")
     member = pin(member.select("node", "smallest", F.coalesce("component", "node").alias("root")), f"{name}-roots")
     smallest = member.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = pin(member.join(smallest, "root").select("node", "component_id"), f"{name}-named")
+    named = pin(member.join(smallest, "root").select("node", "component_id", "root"), f"{name}-named")
     return prints.join(named, "node")
 
 

@@ -1,4 +1,4 @@
-"""Vectors as bytes: one per id, checked, compared by value."""
+"""Vectors as bytes: checked, compared by value."""
 
 from __future__ import annotations
 
@@ -34,9 +34,8 @@ def stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def byte_vectors(df: DataFrame, id_col: str, vector_col: str,
                  change: Callable[[np.ndarray], np.ndarray] = lambda x: x, keep_zero: bool = True) -> DataFrame:
-    """(id, vec) with one row per id: the vector's float64 bytes after ``change``,
-    null if it can't be used. Of several vectors under one id the smallest
-    by bytes is taken; a null id keeps one row, without vector."""
+    """(id, vec): the vector's float64 bytes after ``change``, null if it can't be used or
+    has no id. Rows equal in id and vector are one; an id may have several vectors."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,5 +49,4 @@ def byte_vectors(df: DataFrame, id_col: str, vector_col: str,
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     parsed = map_batches(rows, task, "id bigint, vec binary")
-    one = parsed.groupBy("id").agg(F.min("vec").alias("vec"))
-    return one.select("id", F.when(F.col("id").isNotNull(), F.col("vec")).alias("vec"))
+    return parsed.select("id", F.when(F.col("id").isNotNull(), F.col("vec")).alias("vec")).distinct()

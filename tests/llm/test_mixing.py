@@ -110,3 +110,13 @@ def test_query(spark):
     docs = {r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     copies = Counter(r.doc_id for r in op10_source_mix(spark, DATA).collect())
     assert set(copies) == docs and max(copies.values()) <= 2
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ["repeats", "left", "epochs", "end_doc", "end_block", "__source", "__id", "__blocks", "__doc", "epoch"]
+    rows = [(i, "some words here", "ab"[i % 2], *range(len(names))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    found = mix(df, max_repeats=2.0)
+    assert found.columns == ["doc_id", "text", "source", *names[:-1], "epoch", "position"]
+    got = found.collect()
+    assert {r.doc_id for r in got} == set(range(20)) and all(r["left"] == 1 and r["__doc"] == 8 for r in got)

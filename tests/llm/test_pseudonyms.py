@@ -104,3 +104,12 @@ def test_query_is_native_and_whole(spark):
             if "@" in value or "+" in value or luhn(value):
                 assert value not in r.text
     assert not before
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ["__found", "__new", "__gaps", "__row", "__text", "n_replaced"]
+    df = spark.createDataFrame([(1, "mail a.b@example.org now", *range(6))], "doc_id int, text string, " + ", ".join(f"`{n}` int" for n in names))
+    found = pseudonymise(df, "k", count_col="n_replaced")
+    assert found.columns == ["doc_id", "text", *names]
+    row = found.first()
+    assert row[2:7] == (0, 1, 2, 3, 4) and row.n_replaced == 1 and "a.b@example.org" not in row.text

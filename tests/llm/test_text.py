@@ -143,3 +143,39 @@ def test_quality_edges(spark):
     empty = quality.learn(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs, empty, ["doc_id"]).collect()} == {0.5}
     assert quality.score(docs.limit(0), model, ["doc_id"]).collect() == []
+
+
+def test_quality_with_clashing_names(spark):
+    rows = [(i, "good words in a row, and more of them. " * 9 if i % 2 else "x 1 x 2 " * 20, 7, "a", 3, 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int, __id string, score int, predicted int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    model = quality.learn(df, labels)
+    found = quality.score(df, model, df.columns)
+    assert found.columns == ["doc_id", "text", "label", "__id", "score", "predicted"]
+    assert all(r.predicted == r.doc_id % 2 and r.label == 7 and 0 <= r.score <= 1 for r in found.collect())
+
+
+def test_pieces_hold_every_word_once(monkeypatch):
+    text = "Alpha, beta-gamma δέλτα x1y " * 30 + "end"
+    whole = language.words_of(text)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(language, "PIECE", size)
+        assert language.words_of(text) == whole
+    assert whole["beta"] == 30 and language.words_of(None) == {} == language.words_of("1 2 _")
+
+
+def test_language_of_a_very_long_text_in_little_memory():
+    import tracemalloc
+    docs = [("the cat and the dog sat on the mat", "en"), ("der hund und die katze auf der matte", "de")]
+    counts = np.full((2, language.BUCKETS), language.SMOOTHING)
+    for i, (text, _) in enumerate(docs):
+        hashed, _ = language.trigrams(text.split())
+        counts[i] += np.bincount(hashed, minlength=language.BUCKETS)
+    model = language.Model(["en", "de"], np.log(counts / counts.sum(axis=1, keepdims=True)))
+    text = (" ".join(f"word{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}" for i in range(5000)) + " ") * 1000
+    assert len(text) > 30_000_000
+    tracemalloc.start()
+    name, share = model.predict(text)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert name in ("en", "de") and 0 < share <= 1

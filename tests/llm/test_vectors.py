@@ -119,3 +119,19 @@ def test_embedding_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op3_embedding_dedup(spark, DATA).collect()}
     assert got == brute_groups(rows)
+
+
+def test_repeated_ids_of_different_vectors(spark):
+    """Every row of an id asks, is found and has its links; equal rows are one."""
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (50, [1.0, 0.1]), (50, [0.1, 1.0]), (50, [0.1, 1.0]), (3, [0.9, 0.1]), (9, None), (9, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(r) for r in top_k(df, F.col("id") % 50 == 0, k=3).collect())
+    expected, distinct = [], list({(i, tuple(v)): (i, v) for i, v in rows if v}.values())
+    for at, (i, q) in enumerate(distinct):
+        if i % 50 == 0:
+            others = [(-sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(q, v)), j)
+                      for n, (j, v) in enumerate(distinct) if n != at]
+            expected += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(others)[:3], 1)]
+    assert got == sorted(expected) and (50, 50) in {(q, v) for q, _, v, _ in got}
+    groups = sorted((r.id, r.n_links, r.component_id, r.kept) for r in embedding_groups(df, tables=40, bits=4).collect())
+    assert groups == [(3, 2, 3, True), (7, 1, 7, True), (7, 2, 3, False), (9, 0, 9, True), (9, 0, 9, True), (50, 1, 7, False), (50, 2, 3, False)]
