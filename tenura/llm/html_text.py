@@ -14,7 +14,8 @@ can only speak for a block there, not against it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -60,6 +61,9 @@ WEAK_NAMES = frozenset("header head masthead banner topbar toolbar search".split
 CONTENT_NAMES = frozenset("article post entry content main story body text title headline".split())
 NEUTRAL_NAMES = frozenset("site page list area box wrap wrapper container inner outer block bar section links primary secondary top bottom left right".split())
 ENDED_BY_BLOCK = frozenset(["p"])
+PARAGRAPHS = frozenset("p blockquote pre dd td".split())
+# A line of rights outside paragraphs is no text.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 COMMENT = re.compile(r"--!?>")
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=|["'])*+)>""")
@@ -73,8 +77,9 @@ class Block:
     text: list[str] = field(default_factory=list)
     linked: int = 0
     landmark: int = 0  # number of the outermost article or main
-    doubtful: tuple[int, ...] = ()  # numbers of the forms and named elements around it
+    doubtful: int = -1  # number of the innermost form or named element around it
     heading: bool = False
+    paragraph: bool = False
     label: int = UNKNOWN
 
     def close(self) -> "Block":
@@ -124,13 +129,16 @@ def is_doubtful(tag: str, attributes: str) -> bool:
 
 
 class Reader:
-    """Blocks of one page. ``open`` holds (tag, furniture, landmark, heading, doubtful)."""
+    """Blocks of one page. ``open`` holds (tag, furniture, landmark, heading, doubtful,
+    place of the innermost open element that is no inline one)."""
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.block = Block()
-        self.open: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
+        self.open: list[tuple[str, bool, int, bool, int, int]] = [("", False, 0, False, -1, 0)]
+        self.tags: Counter[str] = Counter()  # open elements
         self.forms: list[bool] = []  # of the doubtful elements, by number
+        self.around: list[int] = []  # the doubtful element around each, or -1
         self.regions, self.mains = 0, set()
         self.holds_main, self.holds_article = set(), set()
         self.anchors = 0
@@ -138,7 +146,8 @@ class Reader:
     def end_block(self) -> None:
         if any(not t.isspace() for t in self.block.text):
             self.blocks.append(self.block.close())
-        self.block = Block(landmark=self.open[-1][2], heading=self.open[-1][3], doubtful=self.open[-1][4])
+        tag, _, landmark, heading, doubtful, _ = self.open[-1]
+        self.block = Block(landmark=landmark, heading=heading, doubtful=doubtful, paragraph=tag in PARAGRAPHS)
 
     def text(self, raw: str) -> None:
         if raw and not self.open[-1][1]:
@@ -154,35 +163,36 @@ class Reader:
         inline = tag in INLINE
         if not inline:
             # A block ends an open paragraph, with what is left open in it.
-            at = len(self.open) - 1
-            while at > 0 and self.open[at][0] in INLINE:
-                at -= 1
+            at = self.open[-1][5]
             if self.open[at][0] in ENDED_BY_BLOCK or tag in ("li", "option", "dt", "dd") and self.open[at][0] == tag:
                 self.pop_to(at)
         if tag in EMPTY:
             self.end_block() if tag == "hr" else None
             return
-        _, furniture, landmark, heading, doubtful = self.open[-1]
+        _, furniture, landmark, heading, doubtful, last = self.open[-1]
         furniture = furniture or is_furniture(tag, attributes, bool(landmark))
         if not furniture and is_doubtful(tag, attributes):
-            doubtful = (*doubtful, len(self.forms))
+            self.around.append(doubtful)
+            doubtful = len(self.forms)
             self.forms.append(tag == "form")
         main = tag == "main" or tag == "div" and 'role="main"' in attributes
         if not furniture and (main or tag in LANDMARKS) and not landmark:
             self.regions += 1
             landmark = self.regions
-            self.holds_article.update(doubtful)
+            self.holds_article.add(doubtful)
         if main and not furniture:
             self.mains.add(landmark)
-            self.holds_main.update(doubtful)
+            self.holds_main.add(doubtful)
         heading = heading or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        self.open.append((tag, furniture, landmark, heading, doubtful))
-        if tag == "a":
-            self.anchors += 1
+        self.open.append((tag, furniture, landmark, heading, doubtful, last if inline else len(self.open)))
+        self.tags[tag] += 1
+        self.anchors = self.tags["a"]
         if not inline:
             self.end_block()
 
     def end(self, tag: str) -> None:
+        if not self.tags[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
                 self.pop_to(at)
@@ -194,25 +204,42 @@ class Reader:
                 return
 
     def pop_to(self, at: int) -> None:
-        self.anchors -= sum(x[0] == "a" for x in self.open[at:])
+        for x in self.open[at:]:
+            self.tags[x[0]] -= 1
+        self.anchors = self.tags["a"]
         del self.open[at:]
 
+    def with_around(self, numbers: Iterable[int]) -> set[int]:
+        """These doubtful elements and all around them."""
+        found: set[int] = set()
+        for n in numbers:
+            while n >= 0 and n not in found:
+                found.add(n)
+                n = self.around[n]
+        return found
+
+    def within(self, kept: set[int]) -> list[Block]:
+        """The blocks all of whose doubtful elements are kept."""
+        whole: list[bool] = []
+        for n, outer in enumerate(self.around):  # an outer one has the smaller number
+            whole.append(n in kept and (outer < 0 or whole[outer]))
+        return [b for b in self.blocks if b.doubtful < 0 or whole[b.doubtful]]
+
 
 def spared(reader: Reader) -> list[Block]:
     """The blocks without those in doubtful elements. A doubtful element stays if it
     holds main; a form also if it holds an article or text; and any that holds an
     article or text if there is neither outside."""
-    kept = reader.holds_main | {n for n in reader.holds_article if reader.forms[n]}
-    for block in reader.blocks:
-        if judge(block, False) == TEXT:
-            kept.update(n for n in block.doubtful if reader.forms[n])
-    outside = [b for b in reader.blocks if kept.issuperset(b.doubtful)]
+    def forms(numbers: Iterable[int]) -> set[int]:
+        return {n for n in reader.with_around(numbers) if reader.forms[n]}
+
+    kept = reader.with_around(reader.holds_main) | forms(reader.holds_article)
+    kept |= forms(b.doubtful for b in reader.blocks if judge(b, False) == TEXT)
+    outside = reader.within(kept)
     if not any(b.landmark or judge(b, False) == TEXT for b in outside):
-        kept |= reader.holds_article
-        for block in reader.blocks:
-            if judge(block, not outside) == TEXT:
-                kept.update(block.doubtful)
-    return [b for b in reader.blocks if kept.issuperset(b.doubtful)]
+        kept |= reader.with_around(reader.holds_article)
+        kept |= reader.with_around(b.doubtful for b in reader.blocks if judge(b, not outside) == TEXT)
+    return reader.within(kept)
 
 
 def blocks_of(html: str) -> tuple[list[Block], set[int]]:
@@ -253,25 +280,28 @@ def blocks_of(html: str) -> tuple[list[Block], set[int]]:
 
 
 def judge(block: Block, in_landmark: bool) -> int:
-    """Pass one."""
+    """Pass one. A paragraph in few stop words is left undecided, as its language may
+    have no list; other blocks of that kind are furniture."""
     size = len(block.joined)
     if block.links > (ONLY_LINKS if in_landmark else MANY_LINKS):
         return FURNITURE
+    if not (block.landmark or block.paragraph) and size < LONG and RIGHTS.match(block.joined):
+        return FURNITURE
     if size >= LONG and block.stops >= FEW_STOP or size >= SHORT and block.stops >= MANY_STOP:
         return TEXT
     if in_landmark:
         return TEXT if size >= SHORT else UNKNOWN
     if size < SHORT:
         return UNKNOWN
-    return FURNITURE if block.stops < FEW_STOP / 2 else UNKNOWN
+    return FURNITURE if block.stops < FEW_STOP / 2 and not block.paragraph else UNKNOWN
 
 
 def main_blocks(html: str) -> list[str]:
     """Both passes; the texts of the blocks that are main text, in page order.
 
     An undecided block between a text and a furniture block takes the label of
-    the nearer one, text on a tie; a heading looks only forward, if anything
-    follows. If no block is text by its stop words, they are left out; a page
+    the nearer one, text on a tie; a paragraph first asks the paragraphs that it
+    stands among, a heading looks only forward, if anything follows. If no block is text by its stop words, they are left out; a page
     on which nothing is decided is text throughout."""
     blocks, mains = blocks_of(html)
     inside = [b for b in blocks if b.landmark]
@@ -284,18 +314,15 @@ def main_blocks(html: str) -> list[str]:
     if all(b.label != TEXT for b in blocks):
         for block in blocks:  # a language without a list: only links speak against a block
             block.label = judge(block, True)
-    decided = [i for i, b in enumerate(blocks) if b.label]
+    every, own = _neighbours(blocks), _neighbours(blocks, lambda b: not b.paragraph)
     labels = [b.label for b in blocks]
-    before = after = None
-    ahead = iter(decided)
-    after = next(ahead, None)
     for i, block in enumerate(blocks):
         if block.label:
-            before, after = i, next(ahead, None)
             continue
-        near = [x for x in (before, after) if x is not None]
-        if block.heading and after is not None:
-            near = [after]
+        near = [x for x in own[i] if x is not None] if block.paragraph else []
+        near = near or [x for x in every[i] if x is not None]
+        if block.heading and every[i][1] is not None:
+            near = [every[i][1]]
         if not near:
             labels[i] = TEXT
         elif len(near) == 2 and blocks[near[0]].label != blocks[near[1]].label:
@@ -306,6 +333,21 @@ def main_blocks(html: str) -> list[str]:
     return [b.joined for b, label in zip(blocks, labels) if label == TEXT]
 
 
+def _neighbours(blocks: list[Block], ends: Callable[[Block], bool] = lambda b: False
+                ) -> list[tuple[int | None, int | None]]:
+    """Of each block the nearest decided one before and after it, as far as no block
+    in between or there ``ends`` the search."""
+    before, last = [], None
+    for i, block in enumerate(blocks):
+        before.append(last)
+        last = None if ends(block) else i if block.label else last
+    after, following = [], None
+    for i in range(len(blocks) - 1, -1, -1):
+        after.append(following)
+        following = None if ends(blocks[i]) else i if blocks[i].label else following
+    return list(zip(before, reversed(after)))
+
+
 def main_text(html: str | None) -> str:
     return " ".join(main_blocks(html)) if html else ""
 

@@ -179,3 +179,91 @@ def test_language_of_a_very_long_text_in_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     tracemalloc.stop()
     assert name in ("en", "de") and 0 < share <= 1
+
+
+def pages_of(folder):
+    import duckdb
+    return [h for h, in duckdb.sql(f"SELECT html FROM '{folder}/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def test_the_passes_alone_find_the_article():
+    """Pages whose article and main elements are plain ones, and pages without any
+    element, class, id or role that names its part."""
+    import tenura.llm.html_text as module
+    pages = pages_of("/root/testdata/sf0.01")
+    same, lost, more, size = 0, 0, 0, 0
+    for page in pages:
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", page)
+        whole = module.main_blocks(page)
+        same += module.main_blocks(plain) == whole
+        bare = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", page)
+        bare = re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", bare)
+        found = module.main_blocks(bare)
+        lost += sum(len(b) for b in whole if b not in found)
+        more += sum(len(b) for b in found if b not in whole)
+        size += sum(map(len, whole))
+    assert same >= 0.95 * len(pages)
+    assert lost < 0.01 * size and more < 0.02 * size
+
+
+def test_both_passes_equal_a_plain_version(monkeypatch):
+    import random
+
+    import tenura.llm.html_text as module
+    rng = random.Random(12)
+
+    def first(b):
+        n = len(b.joined)
+        if b.links > (0.67 if b.landmark else 0.33):
+            return -1
+        if not b.landmark and not b.paragraph and n < 200 and re.match(r"©|\(c\)|copyright\b", b.joined, re.I):
+            return -1
+        if (n >= 200 and b.stops >= 0.30) or (n >= 70 and b.stops >= 0.32):
+            return 1
+        if b.landmark:
+            return 1 if n >= 70 else 0
+        return -1 if n >= 70 and b.stops < 0.15 and not b.paragraph else 0
+
+    def plain(blocks):
+        labels = [first(b) for b in blocks]
+        if 1 not in labels:
+            labels = [-1 if b.links > 0.67 or (not b.landmark and not b.paragraph and len(b.joined) < 200 and b.joined.startswith("©"))
+                      else 1 if len(b.joined) >= 70 else 0 for b in blocks]
+        out = []
+        for i, b in enumerate(blocks):
+            if labels[i]:
+                out.append(labels[i])
+                continue
+            decided = [j for j in range(len(blocks)) if labels[j]]
+            if b.heading and any(j > i for j in decided):
+                out.append(labels[min(j for j in decided if j > i)])
+                continue
+            pool = [j for j in decided if all(c.paragraph for c in blocks[min(i, j):max(i, j) + 1])]
+            pool = pool or decided
+            sides = [max((j for j in pool if j < i), default=None), min((j for j in pool if j > i), default=None)]
+            sides = [j for j in sides if j is not None]
+            near = [j for j in sides if abs(j - i) == min(abs(k - i) for k in sides)]
+            out.append(max((labels[j] for j in near), default=1))
+        return [b.joined for b, label in zip(blocks, out) if label == 1]
+
+    words = ["the", "of", "and", "blorp", "zint", "quax", "grendel", "is"]
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randrange(12)):
+            text = " ".join(rng.choices(words, k=rng.choice([2, 5, 12, 20, 45])))
+            block = module.Block([rng.choice(["", "", "", "© "]) + text], paragraph=rng.random() < 0.5, heading=rng.random() < 0.1)
+            block.linked = rng.choice([0, 0, 0, len(text) // 2, len(text)])
+            blocks.append(block.close())
+        monkeypatch.setattr(module, "blocks_of", lambda html: (blocks, set()))
+        assert module.main_blocks("x") == plain(blocks)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "</p>" * 20_000 + "text", "<div class=sidebar>" * 20_000 + "text", "<form>" * 20_000 + "some text" + "</form>" * 20_000,
+    "<b>" * 20_000 + "<hr>" * 20_000 + "text", "<a>" * 20_000 + "x" + "</a>" * 20_000, "<p><b>" * 20_000 + "text",
+])
+def test_depth_costs_linear_time(page):
+    import time
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 3
