@@ -20,7 +20,6 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenura.llm.common import byte_items, find_package, map_batches, table
+from tenura.llm.common import byte_items, find_package, map_batches, remembered, table
 from tenura.sources.shared import pin
 
 SEGMENT = 1 << 18  # characters of a text whose words are looked up at a time, or somewhat more
@@ -280,11 +279,10 @@ class Text:
         self.pairs = self.times = np.empty(0, dtype=np.int64)
 
 
-@cache
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One for all tasks of a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Aligner(ByteLevelSide(path_a), PieceSide(path_b))
+    return remembered(__name__, (path_a, path_b), lambda: Aligner(ByteLevelSide(path_a), PieceSide(path_b)))
 
 
 ALIGNED = ("chunk bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, "

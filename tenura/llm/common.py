@@ -39,10 +39,33 @@ def find_package(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
 
 
+_remembered: dict[str, tuple[tuple, object]] = {}
+
+
+def remembered(owner: str, key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` gives, kept for the next tasks of this Python worker. A worker
+    serves many stages: what another owner kept is let go."""
+    let_go(owner)
+    if owner not in _remembered or _remembered[owner][0] != key:
+        _remembered[owner] = key, build()
+    return _remembered[owner][1]
+
+
+def let_go(owner: str) -> None:
+    for other in [o for o in _remembered if o != owner]:
+        del _remembered[other]
+
+
 def map_batches(df: DataFrame, task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     find_package(df.sparkSession)
-    return df.mapInArrow(task, schema)
+    owner = task.__module__
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(owner)  # by name, so that it is the worker's own memory
+        yield from task(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def with_text(df: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int, str]:

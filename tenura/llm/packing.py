@@ -13,7 +13,6 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tenura.llm.common import map_batches, table
+from tenura.llm.common import map_batches, remembered, table
 
 LENGTH = 4096
 DOCUMENT, SENTENCE, INSIDE = 0, 4, 64  # penalty of a cut, in tokens of padding
@@ -163,7 +162,8 @@ def _halves(word: str) -> tuple[str, str]:
     knows no capitals, so such a core is lower-cased. Special tokens and other
     scripts stay whole."""
     if word.isascii() and word.isalnum():
-        return word.lower(), ""
+        low = word.lower()
+        return word if low == word else low, ""
     core = word.rstrip(MARKS)
     if not core or not core[-1].isalnum() or "|" in core:
         return word, ""
@@ -180,10 +180,9 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-@cache
 def encoder(path: str, end_id: int) -> Encoder:
     """One for all tasks of a Python worker."""
-    return Encoder(path, end_id)
+    return remembered(__name__, (path, end_id), lambda: Encoder(path, end_id))
 
 
 @dataclass
