@@ -2,13 +2,14 @@
 
 A round fits one tree to the residuals of the rows so far. Each of its levels is one
 aggregation over all rows, to sums per node, feature and bin; they are as
-many for any number of rows and all that reaches the driver. The last level's sums
+many for any number of rows and all that reaches the driver. (A table of at most
+``forest.LOCAL_ROWS`` rows is summed in one task.) The last level's sums
 also give the leaves: the residuals over the second derivatives of their rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenura.ml import forest
 from tenura.ml.forest import BINS, bin_edges, coded, feature_rows, matrix
 from tenura.sources.shared import pin
 from tenura.sources.workers import find_package, map_batches
@@ -93,12 +95,29 @@ class Boosting:
         return total
 
 
+def level_sums(codes: np.ndarray, labels: np.ndarray, score: np.ndarray, tree: BoostedTree, level: int
+               ) -> tuple[np.ndarray, float]:
+    """(residuals, second derivatives, rows) per node of a level, feature and bin, and the
+    summed log loss, of rows with these scores."""
+    features, first, size = codes.shape[1], 2**level - 1, 2**level * codes.shape[1] * BINS
+    p = 1 / (1 + np.exp(-score))
+    loss = float(np.logaddexp(0, np.where(labels == 1, -score, score)).sum())
+    at = tree.reached(codes) - first
+    use = np.flatnonzero(at >= 0)
+    key = ((at[use, None] * features + np.arange(features)) * BINS + codes[use]).ravel()
+    values = (labels - p, p * (1 - p), np.ones(len(p)))
+    return np.stack([np.bincount(key, np.repeat(v[use], features), size) for v in values]), loss
+
+
+def _shaped(totals: np.ndarray, level: int, features: int) -> Sums:
+    return Sums(*totals.reshape(3, 2**level, features, BINS))
+
+
 def _level(rows: DataFrame, model: Boosting, since: int, tree: BoostedTree, level: int, features: int
            ) -> tuple[Sums, float]:
     """One aggregation over all rows: the sums of a level's nodes, and the log loss of
     the model without this tree (summed)."""
-    first, width = 2**level - 1, 2**level
-    size = width * features * BINS
+    size = 2**level * features * BINS
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, loss = np.zeros((3, size)), 0.0
@@ -106,14 +125,8 @@ def _level(rows: DataFrame, model: Boosting, since: int, tree: BoostedTree, leve
             if not batch.num_rows:
                 continue
             codes, labels = matrix(batch.column(2), "u1"), batch.column(1).to_numpy()
-            score = batch.column(0).to_numpy() + model.scores(codes, since)
-            p = 1 / (1 + np.exp(-score))
-            loss += float(np.logaddexp(0, np.where(labels == 1, -score, score)).sum())
-            at = tree.reached(codes) - first
-            use = np.flatnonzero(at >= 0)
-            key = ((at[use, None] * features + np.arange(features)) * BINS + codes[use]).ravel()
-            for total, values in zip(totals, (labels - p, p * (1 - p), np.ones(len(p)))):
-                total += np.bincount(key, np.repeat(values[use], features), size)
+            some, lost = level_sums(codes, labels, batch.column(0).to_numpy() + model.scores(codes, since), tree, level)
+            totals, loss = totals + some, loss + lost
         cell = np.flatnonzero(totals[2])
         cells = np.append(cell, -1)
         yield pa.RecordBatch.from_arrays(
@@ -125,19 +138,17 @@ def _level(rows: DataFrame, model: Boosting, since: int, tree: BoostedTree, leve
     found = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("residual", "second", "n")]).toArrow()
     cell = found.column("cell").to_numpy()
     kept, lost = np.flatnonzero(cell >= 0), np.flatnonzero(cell < 0)
-    arrays = []
-    for name in ("residual", "second", "n"):
-        values = np.zeros(size)
-        values[cell[kept]] = found.column(name).to_numpy()[kept]
-        arrays.append(values.reshape(width, features, BINS))
-    return Sums(*arrays), float(found.column("residual").to_numpy()[lost].sum())
+    totals = np.zeros((3, size))
+    for total, name in zip(totals, ("residual", "second", "n")):
+        total[cell[kept]] = found.column(name).to_numpy()[kept]
+    return _shaped(totals, level, features), float(found.column("residual").to_numpy()[lost].sum())
 
 
-def _grown(rows: DataFrame, model: Boosting, since: int, depth: int, features: int) -> tuple[BoostedTree, float]:
+def _grown(sums_of: Callable[[BoostedTree, int], tuple[Sums, float]], depth: int) -> tuple[BoostedTree, float]:
     """The next tree and the loss before it."""
     tree, before = BoostedTree.empty(depth), 0.0
     for level in range(depth):
-        sums, loss = _level(rows, model, since, tree, level, features)
+        sums, loss = sums_of(tree, level)
         before = before if level else loss
         for node in range(2**level):
             number = 2**level - 1 + node
@@ -155,6 +166,47 @@ def _grown(rows: DataFrame, model: Boosting, since: int, depth: int, features: i
     return tree, before
 
 
+def _rounds_in_passes(rows: DataFrame, model: Boosting, rounds: int, depth: int, features: int) -> list[float]:
+    """Grow the trees by one pass over all rows per level; the summed losses before them."""
+    scored, since, losses = rows.select(F.lit(model.base).alias("score"), "label", "x"), 0, []
+    for number in range(rounds):
+        if number and number % WRITTEN == 0:
+            scored, since = pin(_with_scores(scored, model, since), "boosting-scores"), number
+        tree, before = _grown(lambda tree, level: _level(scored, model, since, tree, level, features), depth)
+        model.trees.append(tree)
+        losses.append(before)
+    return losses
+
+
+def _rounds_in_one_task(rows: DataFrame, model: Boosting, rounds: int, depth: int, features: int) -> list[float]:
+    """The same for at most LOCAL_ROWS rows, in one task instead of many small jobs."""
+    find_package(rows.sparkSession)
+
+    def grow(group: pa.Table) -> pa.Table:
+        codes, labels = matrix(group.column("x"), "u1"), group.column("label").to_numpy()
+        score, trees, losses = np.full(len(labels), model.base), [], []
+        for _ in range(rounds):
+            def sums(tree: BoostedTree, level: int) -> tuple[Sums, float]:
+                totals, loss = level_sums(codes, labels, score, tree, level)
+                return _shaped(totals, level, features), loss
+
+            tree, before = _grown(sums, depth)
+            score = score + model.step * tree.scores(codes)
+            trees.append(tree)
+            losses.append(before)
+        return pa.table({
+            "number": pa.array(range(rounds), pa.int32()), "loss": pa.array(losses, pa.float64()),
+            "feature": pa.array([t.feature.tolist() for t in trees], pa.list_(pa.int32())),
+            "cut": pa.array([t.cut.tolist() for t in trees], pa.list_(pa.int32())),
+            "value": pa.array([t.value.tolist() for t in trees], pa.list_(pa.float64()))})
+
+    grown = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(
+        grow, "number int, loss double, feature array<int>, cut array<int>, value array<double>").collect()
+    found = sorted(grown, key=lambda r: r.number)     # one per round
+    model.trees += [BoostedTree(np.array(r.feature), np.array(r.cut), np.array(r.value)) for r in found]
+    return [r.loss for r in found]
+
+
 class NewtonBoosting(Estimator):
     """``rounds`` trees of ``depth`` levels, each added with weight ``step``; rows
     without features or label aren't allowed. Splits are searched over at most BINS
@@ -170,14 +222,9 @@ class NewtonBoosting(Estimator):
         n, positive = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
         share = min(max(positive / n, 1e-12), 1 - 1e-12)
         model = Boosting(float(np.log(share / (1 - share))), self.step)
-        scored, since, losses = rows.select(F.lit(model.base).alias("score"), "label", "x"), 0, []
-        for number in range(self.rounds):
-            if number and number % WRITTEN == 0:
-                scored, since = pin(_with_scores(scored, model, since), "boosting-scores"), number
-            tree, before = _grown(scored, model, since, self.depth, len(edges))
-            model.trees.append(tree)
-            losses.append(before / n)
-        return BoostingModel(model, edges, losses)
+        grow = _rounds_in_one_task if n <= forest.LOCAL_ROWS else _rounds_in_passes
+        losses = grow(rows, model, self.rounds, self.depth, len(edges))
+        return BoostingModel(model, edges, [loss / n for loss in losses])
 
 
 def _with_scores(rows: DataFrame, model: Boosting, since: int) -> DataFrame:

@@ -40,8 +40,10 @@ def plain_rounds(codes, y, rounds, depth, step):
     return base, values, losses, 1 / (1 + np.exp(-score))
 
 
-def test_rounds_equal_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("local_rows", [100, 1000])
+def test_rounds_equal_numpy(spark, monkeypatch, local_rows):
     monkeypatch.setattr(boosting, "WRITTEN", 3)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", local_rows)
     x, y = sample(240, 5)
     df = as_rows(spark, x, y)
     model = boosting.NewtonBoosting(rounds=7, depth=2, step=0.3).fit(df)
