@@ -30,6 +30,7 @@ HEADLINE = [
     "sql_risk_ranking", "sql_top_churned", "profile_describe", "quality_report", "welch_t",
     "mann_whitney", "chi_square", "pearson_matrix", "spearman_matrix", "iqr_outliers",
     "target_correlation", "stratified_split", "logistic_regression", "decision_tree", "kmeans_assign", "pca_variance",
+    "random_forest", "gradient_boosting", "extra_trees", "reweighted_regression", "kpi_cube_repeating", "quantiles_merged",
 ]
 
 

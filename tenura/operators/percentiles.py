@@ -12,16 +12,15 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tenura.functions.columns import without_nan
 from tenura.operators.ranking import running_counts
+from tenura.sources.shared import pin
 
 ACCURACY = 2000          # the sketch is within 1/ACCURACY of the wanted rank
 SLACK = 4 / ACCURACY     # half-width of a bracket
-MAX_GROUPS = 50_000      # groups whose brackets and results pass through the driver
 WINDOW_VALUES = 2_000_000  # distinct values one window may sort
 
 
@@ -31,18 +30,16 @@ def long_metrics(df: DataFrame, metrics: Sequence[str], groups: Sequence[str] =
     return doubles.unpivot(list(groups), list(metrics), "metric", "value").dropna(subset="value")
 
 
-def _brackets(df: DataFrame, metrics: Sequence[str], probs: Sequence[float],
-              groups: Sequence[str]) -> list[Row] | None:
-    """Per group and metric, the lower and then the upper bracket ends; None
-    when there are too many groups to hand them to every task."""
+def _brackets(df: DataFrame, metrics: Sequence[str], probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
+    """(groups, per metric the lower and then the upper bracket ends, _rows), written:
+    the largest count of values among the metrics is in ``_rows``."""
     ends = [max(0.0, p - SLACK) for p in probs] + [min(1.0, p + SLACK) for p in probs]
     doubles = {m: without_nan(F.col(m)) for m in metrics}
     sketches = df.groupBy(*groups).agg(
         *[F.percentile_approx(c, ends, ACCURACY).alias(m) for m, c in doubles.items()],
         F.greatest(F.lit(0), *[F.count(c) for c in doubles.values()]).alias("_rows"),
     )
-    rows = sketches.limit(MAX_GROUPS + 1).collect()
-    return rows if len(rows) <= MAX_GROUPS else None
+    return pin(sketches, "brackets")
 
 
 def _collapse(value: str, ends: Sequence[str]) -> tuple[str, str]:
@@ -57,25 +54,21 @@ def _collapse(value: str, ends: Sequence[str]) -> tuple[str, str]:
 
 
 def _collapsed_rows(df: DataFrame, metrics: Sequence[str], k: int, groups: Sequence[str],
-                    brackets: Sequence[Row]) -> DataFrame:
-    """Rows of (groups, metric, value, gap) after collapsing to the brackets."""
+                    brackets: DataFrame) -> DataFrame:
+    """Rows of (groups, metric, value, gap) after collapsing to the brackets. Spark
+    broadcasts the brackets if their table is below its limit."""
     if groups:
-        schema = T.StructType(
-            [T.StructField(f"_g{i}", df.schema[g].dataType) for i, g in enumerate(groups)]
-            + [T.StructField(f"_{m}_{i}", T.DoubleType()) for m in metrics for i in range(2 * k)]
+        small = brackets.select(
+            *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
+            *[F.col(m)[i].alias(f"_{m}_{i}") for m in metrics for i in range(2 * k)],
         )
-        flat = [
-            [r[g] for g in groups] + [v for m in metrics for v in (r[m] or [None] * (2 * k))]
-            for r in brackets
-        ]
-        small = F.broadcast(df.sparkSession.createDataFrame(flat, schema))
         same = reduce(and_, [
             df[g].eqNullSafe(small[f"_g{i}"]) for i, g in enumerate(groups)
         ])
         df = df.join(small, same)
         ends = {m: [f"`_{m}_{i}`" for i in range(2 * k)] for m in metrics}
     else:
-        row = brackets[0]
+        row = brackets.first()
         ends = {m: [f"double('{v}')" for v in row[m] or [0.0] * (2 * k)] for m in metrics}
     cells = []
     for m in metrics:
@@ -118,16 +111,14 @@ def exact_percentiles(df: DataFrame, metrics: Sequence[str], probs: Sequence[flo
     groups, metrics = list(groups), list(metrics)
     names = names or [f"p{p * 100:g}" for p in probs]
     brackets = _brackets(df, metrics, probs, groups)
-    if brackets is not None:
-        collapsed = _collapsed_rows(df, metrics, len(probs), groups, brackets)
-        # Values inside the brackets of the largest group, by the sketch's bound.
-        most = max((r["_rows"] for r in brackets), default=0)
-        inside = len(probs) * most * (2 * SLACK + 2 / ACCURACY)
-        result = _order_statistics(collapsed, probs, names, groups, inside <= WINDOW_VALUES)
-        rows = result.collect()     # at most MAX_GROUPS x metrics
-        if not any(r["missed"] for r in rows):
-            return df.sparkSession.createDataFrame(rows, result.schema).drop("missed")
-    # Too many groups to broadcast, or a sketch outside its error bound.
+    collapsed = _collapsed_rows(df, metrics, len(probs), groups, brackets)
+    # Values inside the brackets of the largest group, by the sketch's bound.
+    most = brackets.agg(F.max("_rows")).first()[0] or 0
+    inside = len(probs) * most * (2 * SLACK + 2 / ACCURACY)
+    found = pin(_order_statistics(collapsed, probs, names, groups, inside <= WINDOW_VALUES), "percentiles")
+    if not found.agg(F.max("missed")).first()[0]:
+        return found.drop("missed")
+    # A sketch was outside its error bound.
     full = long_metrics(df, metrics, groups).withColumn("gap", F.lit(0))
     return _order_statistics(full, probs, names, groups).drop("missed")
 

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tenura.operators import percentiles as P
@@ -34,11 +33,10 @@ def test_percentiles_equal_pandas(skewed, pdf, monkeypatch, bracket):
         monkeypatch.setattr(P, "WINDOW_VALUES", -1)
     if bracket == "missed":     # brackets that cannot hold the wanted values
         found = P._brackets
-        monkeypatch.setattr(P, "_brackets", lambda *a: [
-            Row(**{**r.asDict(), "v": [1e12] * 10}) for r in found(*a)
-        ])
-    if bracket == "many_groups":
-        monkeypatch.setattr(P, "MAX_GROUPS", 1)
+        far = F.array(*[F.lit(1e12)] * 10)
+        monkeypatch.setattr(P, "_brackets", lambda *a: found(*a).withColumn("v", far))
+    if bracket == "many_groups":     # more of them than Spark broadcasts
+        monkeypatch.setattr(P, "_brackets", lambda *a, found=P._brackets: found(*a).hint("merge"))
     got = P.exact_percentiles(skewed, ["v"], [0, 0.25, 0.5, 0.9, 1], ["g"], list("abcde"))
     want = pdf.groupby("g", dropna=False)["v"].quantile([0, 0.25, 0.5, 0.9, 1]).unstack()
     rows = got.collect()
