@@ -62,11 +62,24 @@ class Workspace:
         return self._predictions[name]
 
 
-_open: dict[tuple[str, str], Workspace] = {}
+INPUTS = ("customer", "orders")
+_open: dict[tuple[str, str], tuple[tuple, Workspace]] = {}
+
+
+def _state(spark: SparkSession, data_dir: str) -> tuple:
+    """Time and size of the input tables, from the file system that Spark reads."""
+    found = []
+    for name in INPUTS:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{data_dir}/{name}.parquet")
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found.append((files.getFileStatus(place).getModificationTime(), files.getContentSummary(place).getLength()))
+    return tuple(found)
 
 
 def workspace(spark: SparkSession, data_dir: str) -> Workspace:
+    """The workspace of a folder, opened anew when its input tables change."""
     key = (spark.sparkContext.applicationId, str(data_dir).rstrip("/"))
-    if key not in _open:
-        _open[key] = Workspace(spark, key[1])
-    return _open[key]
+    state = _state(spark, key[1])
+    if key not in _open or _open[key][0] != state:
+        _open[key] = state, Workspace(spark, key[1])
+    return _open[key][1]

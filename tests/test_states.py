@@ -225,3 +225,19 @@ def test_euclidean_silhouette_equals_brute_force(spark, monkeypatch, block):
     assert cluster.euclidean_silhouette(df.withColumn("cluster", F.lit(0))) is None
     with pytest.raises(ValueError):
         cluster.euclidean_silhouette(df, 10)
+
+
+def test_a_workspace_follows_its_inputs(spark, tmp_path):
+    from tests.conftest import DATA
+
+    from tenura.plans.workspace import workspace
+
+    for name in ("customer", "orders"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    first = workspace(spark, str(tmp_path))
+    assert workspace(spark, f"{tmp_path}/") is first
+    n = first.subscribers.count()
+    some = spark.read.parquet(f"{DATA}/customer.parquet").limit(n // 2)
+    some.write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
+    second = workspace(spark, str(tmp_path))
+    assert second is not first and second.subscribers.count() == n // 2
