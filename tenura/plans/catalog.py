@@ -205,9 +205,13 @@ def _feature_values(model: prep.PreprocessorModel, frame: DataFrame) -> DataFram
 
 
 def _rule_predictions(w: Workspace) -> DataFrame:
-    score = F.expr(RULE_SCORE)
-    return w.features.select("customerID", "Churn_Flag", score.alias("score")).select(
-        "customerID", "Churn_Flag", (F.col("score") > 0.5).cast("double").alias("prediction"),
+    """The rule's calls. A customer without charges has no score and is called 0; like
+    the SQL, which sorts nulls last, the area ranks such customers above all others."""
+    rows = w.features.select("customerID", "Churn_Flag", F.expr(RULE_SCORE).alias("score"))
+    called = F.coalesce(F.col("score") > 0.5, F.lit(False))
+    return rows.withColumn("prediction", called.cast("double")).withColumn(
+        "score", F.coalesce("score", F.lit(float("inf")))).select(
+        "customerID", "Churn_Flag", "prediction",
         array_to_vector(F.array(1 - F.col("score"), F.col("score"))).alias("probability"),
     )
 
