@@ -3,7 +3,7 @@
 A round fits one tree to the residuals of the rows so far. Each of its levels is one
 aggregation over all rows, to sums per node, feature and bin; they are as
 many for any number of rows and all that reaches the driver. (A table of at most
-``forest.LOCAL_ROWS`` rows is summed in one task.) The last level's sums
+``ONE_TASK_ROWS`` rows is summed in one task.) The last level's sums
 also give the leaves: the residuals over the second derivatives of their rows.
 """
 
@@ -25,6 +25,7 @@ from tenura.ml.forest import BINS, bin_edges, coded, feature_rows, matrix
 from tenura.sources.shared import pin
 from tenura.sources.workers import find_package, map_batches
 
+ONE_TASK_ROWS = 1 << 16  # rows that are boosted in one task
 WRITTEN = 25  # rounds after which the rows' scores are written
 
 
@@ -179,7 +180,7 @@ def _rounds_in_passes(rows: DataFrame, model: Boosting, rounds: int, depth: int,
 
 
 def _rounds_in_one_task(rows: DataFrame, model: Boosting, rounds: int, depth: int, features: int) -> list[float]:
-    """The same for at most LOCAL_ROWS rows, in one task instead of many small jobs."""
+    """The same for at most ONE_TASK_ROWS rows, in one task instead of many small jobs."""
     find_package(rows.sparkSession)
 
     def grow(group: pa.Table) -> pa.Table:
@@ -222,7 +223,7 @@ class NewtonBoosting(Estimator):
         n, positive = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
         share = min(max(positive / n, 1e-12), 1 - 1e-12)
         model = Boosting(float(np.log(share / (1 - share))), self.step)
-        grow = _rounds_in_one_task if n <= forest.LOCAL_ROWS else _rounds_in_passes
+        grow = _rounds_in_one_task if n <= min(ONE_TASK_ROWS, forest.LOCAL_ROWS) else _rounds_in_passes
         losses = grow(rows, model, self.rounds, self.depth, len(edges))
         return BoostingModel(model, edges, [loss / n for loss in losses])
 

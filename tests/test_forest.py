@@ -172,3 +172,33 @@ def test_full_grid_has_every_setting(features):
     rows = validation.rf_grid_search(features, grid, folds=2).collect()
     assert len(rows) == 144 == len({r[:5] for r in rows})
     assert rows[0].roc_auc == max(r.roc_auc for r in rows) > 0.6
+
+
+def test_rows_travel_packed_and_exact(spark):
+    x, _ = sample(50)
+    x[:, 5] = np.where(np.arange(50) % 3, -0.25, 7.5)
+    head, data = forest.packed(x)
+    assert np.array_equal(forest.unpacked(head, data[9:20].tobytes(), 11), x[9:20])
+    assert data.shape[1] == 1 + 8 * 4  # three columns of at most two values are bits
+    codes = np.arange(24, dtype=np.uint8).reshape(4, 6)
+    head, data = forest.packed(codes)
+    assert head == b"" and np.array_equal(forest.unpacked(head, data.tobytes(), 4), codes)
+
+
+def test_dealt_rows_of_a_node_share_a_record(spark):
+    x, y = sample(300)
+    rows = pin(forest.feature_rows(as_rows(spark, x, y).coalesce(1), "id"), "test-rows")
+    growth = forest.Growth(3, 2, True, False)
+    tops, _ = forest._split_top(rows, growth, growth.variants[0], range(3), 300, 7, [])
+    dealt = forest._dealt(rows, growth, tops).collect()
+    assert [(r.tree, len(r.labels)) for r in dealt] == [(0, 300), (1, 300), (2, 300)]
+
+
+def test_lots_hold_a_bounded_number_of_nodes(spark, monkeypatch):
+    x, y = sample()
+    model = forest.ExtraTrees(trees=6).fit(as_rows(spark, x, y))
+    held = pin(forest.feature_rows(as_rows(spark, x, y), "id"), "test-held")
+    one = {r.row: r.scores for r in forest.forest_scores(model.nodes, held, len(y), 6, [forest.Pruned(6)]).collect()}
+    monkeypatch.setattr(forest, "LOT_NODES", model.nodes.count() // 3)
+    many = {r.row: r.scores for r in forest.forest_scores(model.nodes, held, len(y), 6, [forest.Pruned(6)]).collect()}
+    assert many == one
