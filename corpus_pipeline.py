@@ -32,7 +32,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     with the smallest hash); of rows equal in doc_id and text one. Different texts
     under one doc_id in different groups all stay. Rows without doc_id can't be told
     apart and stay."""
-    groups = near.near_groups(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
+    groups = near.near_members(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
     best = groups.filter("id IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "mark")).alias("best"))
     kept = best.select(F.col("best.id").alias("__id"), F.col("best.mark").alias("__mark"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),

@@ -1,6 +1,8 @@
 """Near-duplicate groups by the similarity of the sets of word shingles.
 
-Candidates share a band of MinHash minima: of 24 bands of four minima, two texts
+Candidates share a Golay key of SimHash (see ``simhash``): those whose first fingerprint
+words differ in at most three bits all do. One word finds about half of the pairs at 0.8, so
+candidates may also share a band of MinHash minima: of 24 bands of four minima, two texts
 at similarity s have one in common with probability 1 - (1 - s^4)^24, which is
 0.999997 at 0.8. Fingerprints of 768 SimHash bits over the same sets join the
 candidates loosely (at 0.8 they differ in about 116 bits, with a standard
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tenura.llm.common import byte_items, in_blocks, map_batches, sorted_groups
 from tenura.llm.components import connected_components
-from tenura.llm.simhash import BLOCK, SEED, fingerprint, name_groups, print_links, shingle_hashes
+from tenura.llm.simhash import BLOCK, SEED, fingerprint, golay_keys, name_groups, print_links, shingle_hashes
 from tenura.sources.shared import pin
 
 BANDS, ROWS = 24, 4
@@ -73,14 +75,19 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
+    """A row for each key of a node: the bands, and the Golay keys of the first word of
+    its fingerprint."""
+
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 keys = [np.frombuffer(k, dtype=np.int64) for k in some.column(1).to_pylist()]
-                take = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
+                prints = np.frombuffer(b"".join(some.column(2).to_pylist()), dtype="<u8").reshape(-1, SIZE)
+                rows, golay = golay_keys(prints[:, :1])
+                take = pa.array(np.concatenate([np.repeat(np.arange(len(keys)), list(map(len, keys))), rows]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), some.column(0).take(take), some.column(2).take(take)],
+                    [pa.array(np.concatenate([*keys, golay])), some.column(0).take(take), some.column(2).take(take)],
                     ["key", "node", "verified"])
 
     return map_batches(nodes.select("node", "keys", "verified"), task, "key bigint, node bigint, verified binary")
@@ -237,6 +244,12 @@ def _texts(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                 similarity: float = 0.8, name: str = "near") -> DataFrame:
+    """(id, component_id) of every row of ``docs``; see ``near_members``."""
+    return near_members(docs, id_col, text_col, words, similarity, name).select("id", "component_id")
+
+
+def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                 similarity: float = 0.8, name: str = "near") -> DataFrame:
     """(id, component_id, root, mark) of every row of ``docs``; ``root`` is a number of
     the group, and ``mark`` that of the row's text (``text_mark``).
 

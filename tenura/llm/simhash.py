@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, find: Print, verif
     return map_batches(rows, task, "id bigint, first bigint, found binary, verified binary")
 
 
-def _keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and keys of fingerprint words (rows, size): number of word and
     of segment pair above the two codeword indices of 12 bits."""
     rows, keys = [], []
@@ -131,7 +131,7 @@ def _keyed(prints: DataFrame, size: int) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 words = np.frombuffer(b"".join(some.column(1).to_pylist()), dtype="<u8").reshape(-1, size)
-                rows, keys = _keys(words)
+                rows, keys = golay_keys(words)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), some.column(0).take(take), some.column(2).take(take)],

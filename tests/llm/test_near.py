@@ -105,6 +105,13 @@ def test_large_groups_with_strays_equal_brute_force(spark, monkeypatch, block):
     assert got == brute(rows) and len(set(got.values())) > 8
 
 
+def test_simhash_keys_find_candidates_without_bands(spark, monkeypatch):
+    monkeypatch.setattr(near, "band_keys", lambda hashes: np.empty(0, dtype=np.int64))
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(4, " ".join(words)), (2, " ".join(words[:-2] + ["x"])), (7, " ".join(words[::-1])), (9, "")]
+    assert grouped(spark, rows) == {4: 2, 2: 2, 7: 7, 9: 9}
+
+
 def test_edges(spark):
     rows = [(5, "a b c"), (3, "A  b\tC"), (9, None), (8, ""), (7, " \n"), (2, "long words " * 40_000), (1, "one"), (1, "one"), (None, "one"), (None, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
