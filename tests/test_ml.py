@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tenura import schema as S
@@ -145,6 +146,33 @@ def test_clusters_recover_groups(spark):
     assert sweep[1].inertia < sweep[0].inertia and sweep[1].silhouette > 0.95
 
 
+def test_all_fits_share_passes_and_equal_sparks_own(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2)) + rng.integers(0, 4, 300)[:, None] * [6.0, -3.0]
+    df = spark.createDataFrame([(a.tolist(),) for a in x], "v array<double>").select(
+        array_to_vector("v").alias("features")).repartition(3).persist()
+    calls, plain = [], cluster.map_batches
+    monkeypatch.setattr(cluster, "map_batches", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(cluster, "POINTS_AT_ONCE", 37)
+    found = cluster.best_kmeans(df, [2, 5], starts=3, seed=7)
+    passes = []
+    for k, got in zip([2, 5], found):
+        fits = [KMeans(k=k, seed=7 + i, maxIter=300).fit(df) for i in range(3)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        passes += [m.summary.numIter for m in fits]
+        assert got.cost == pytest.approx(best.summary.trainingCost) and got.passes == best.summary.numIter
+        assert got.centers == pytest.approx(np.array(best.clusterCenters()))
+        pairs = {(tuple(r.features), r.prediction) for r in got.assign(df).collect()}
+        assert pairs == {(tuple(r.features), r.prediction) for r in best.transform(df).select("features", "prediction").collect()}
+    assert len(calls) == 1 + max(passes)     # the blocks, and a step for all fits together
+
+
+def test_fewer_distinct_points_than_clusters(spark):
+    df = spark.createDataFrame([(str(i), float(i % 2), 1.0) for i in range(20)], "customerID string, a double, b double")
+    out = cluster.kmeans_assign(df, 4, starts=2, features=["a", "b"])
+    assert {(r.a, r.Customer_Cluster) for r in out.collect()} == {(0.0, 0), (1.0, 1)}
+
+
 def test_components_equal_numpy(features):
     pdf = features.select("customerID", *S.CLUSTER_FEATURES).toPandas().set_index("customerID")
     x = pdf.astype(float)
