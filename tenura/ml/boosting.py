@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -44,11 +45,11 @@ class BoostedTree:
         return cls(np.full(size, -1), np.zeros(size, dtype=np.int64), np.zeros(size))
 
     def reached(self, codes: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(codes), dtype=np.int64)
-        for _ in range(int(np.log2(len(self.feature) + 1)) - 1):
-            inner = np.flatnonzero(self.feature[at] >= 0)
-            here = at[inner]
-            at[inner] = 2 * here + 1 + (codes[inner, self.feature[here]] > self.cut[here])
+        """The node at which each row stops; a split at a time, a column of codes each."""
+        at = np.zeros(len(codes), dtype=np.int16 if len(self.feature) < 1 << 15 else np.int32)
+        for node in np.flatnonzero(self.feature >= 0).tolist():
+            right = codes[:, self.feature[node]] > self.cut[node]
+            at += (at == node) * (right + at.dtype.type(node + 1))
         return at
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
@@ -98,35 +99,66 @@ class Boosting:
 
 def level_sums(codes: np.ndarray, labels: np.ndarray, score: np.ndarray, tree: BoostedTree, level: int
                ) -> tuple[np.ndarray, float]:
-    """(residuals, second derivatives, rows) per node of a level, feature and bin, and the
-    summed log loss, of rows with these scores."""
-    features, first, size = codes.shape[1], 2**level - 1, 2**level * codes.shape[1] * BINS
+    """(residuals, second derivatives, rows) per node of a level, feature and bin, and (at the
+    root) the summed log loss, of rows with these scores. ``codes`` are read by column."""
+    features, size = codes.shape[1], 2**level * BINS
     p = 1 / (1 + np.exp(-score))
-    loss = float(np.logaddexp(0, np.where(labels == 1, -score, score)).sum())
-    at = tree.reached(codes) - first
-    use = np.flatnonzero(at >= 0)
-    key = ((at[use, None] * features + np.arange(features)) * BINS + codes[use]).ravel()
-    values = (labels - p, p * (1 - p), np.ones(len(p)))
-    return np.stack([np.bincount(key, np.repeat(v[use], features), size) for v in values]), loss
+    loss = 0.0 if level else float(np.logaddexp(0, np.where(labels == 1, -score, score)).sum())
+    at = tree.reached(codes) - (2**level - 1)
+    use = slice(None) if (at >= 0).all() else np.flatnonzero(at >= 0)
+    first = at[use].astype(np.int64) * BINS
+    residual, second = (labels - p)[use], (p * (1 - p))[use]
+    totals = np.empty((3, 2**level, features, BINS))
+    for f in range(features):
+        key = first + codes[use, f]
+        for total, sums in zip(totals, (np.bincount(key, residual, size), np.bincount(key, second, size),
+                                        np.bincount(key, minlength=size))):
+            total[:, f] = sums.reshape(-1, BINS)
+    return totals.reshape(3, -1), loss
 
 
 def _shaped(totals: np.ndarray, level: int, features: int) -> Sums:
     return Sums(*totals.reshape(3, 2**level, features, BINS))
 
 
-def _level(rows: DataFrame, model: Boosting, since: int, tree: BoostedTree, level: int, features: int
+BLOCKS = "n int, score binary, label binary, x binary"  # many rows: float64, bytes, a byte per feature and row
+
+
+def _blocks(rows: DataFrame, base: float) -> DataFrame:
+    """The rows in blocks, all rows' bins of a feature after the other, with the first scores."""
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                labels = batch.column(0).to_numpy().astype(np.uint8)
+                yield _block(n, np.full(n, base), labels.tobytes(), matrix(batch.column(1), "u1").T.tobytes())
+
+    return map_batches(rows.select("label", "x"), task, BLOCKS)
+
+
+def _block(n: int, score: np.ndarray, labels: bytes, x: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([b], pa.binary()) for b in (
+        score.tobytes(), labels, x))], ["n", "score", "label", "x"])
+
+
+def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(scores, labels, codes) of each block."""
+    for batch in batches:
+        for n, score, labels, x in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+            codes = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, n).T
+            yield np.frombuffer(score.as_buffer(), "<f8"), np.frombuffer(labels.as_buffer(), np.uint8), codes
+
+
+def _level(blocks: DataFrame, model: Boosting, since: int, tree: BoostedTree, level: int, features: int
            ) -> tuple[Sums, float]:
-    """One aggregation over all rows: the sums of a level's nodes, and the log loss of
-    the model without this tree (summed)."""
+    """One aggregation over all rows: the sums of a level's nodes, and at the root the log
+    loss of the model without this tree (summed)."""
     size = 2**level * features * BINS
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, loss = np.zeros((3, size)), 0.0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, labels = matrix(batch.column(2), "u1"), batch.column(1).to_numpy()
-            some, lost = level_sums(codes, labels, batch.column(0).to_numpy() + model.scores(codes, since), tree, level)
+        for score, labels, codes in _opened(batches):
+            some, lost = level_sums(codes, labels, score + model.scores(codes, since), tree, level)
             totals, loss = totals + some, loss + lost
         cell = np.flatnonzero(totals[2])
         cells = np.append(cell, -1)
@@ -135,7 +167,7 @@ def _level(rows: DataFrame, model: Boosting, since: int, tree: BoostedTree, leve
              pa.array(np.append(totals[1][cell], 0.0)), pa.array(np.append(totals[2][cell], 0.0))],
             ["cell", "residual", "second", "n"])
 
-    cells = map_batches(rows.select("score", "label", "x"), task, "cell int, residual double, second double, n double")
+    cells = map_batches(blocks, task, "cell int, residual double, second double, n double")
     found = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("residual", "second", "n")]).toArrow()
     cell = found.column("cell").to_numpy()
     kept, lost = np.flatnonzero(cell >= 0), np.flatnonzero(cell < 0)
@@ -169,22 +201,31 @@ def _grown(sums_of: Callable[[BoostedTree, int], tuple[Sums, float]], depth: int
 
 def _rounds_in_passes(rows: DataFrame, model: Boosting, rounds: int, depth: int, features: int) -> list[float]:
     """Grow the trees by one pass over all rows per level; the summed losses before them."""
-    scored, since, losses = rows.select(F.lit(model.base).alias("score"), "label", "x"), 0, []
-    for number in range(rounds):
-        if number and number % WRITTEN == 0:
-            scored, since = pin(_with_scores(scored, model, since), "boosting-scores"), number
-        tree, before = _grown(lambda tree, level: _level(scored, model, since, tree, level, features), depth)
-        model.trees.append(tree)
-        losses.append(before)
+    scored, since, losses = _held(_blocks(rows, model.base)), 0, []
+    try:
+        for number in range(rounds):
+            if number and number % WRITTEN == 0:
+                old, scored, since = scored, _held(_with_scores(scored, model, since)), number
+                old.unpersist()
+            tree, before = _grown(lambda tree, level: _level(scored, model, since, tree, level, features), depth)
+            model.trees.append(tree)
+            losses.append(before)
+    finally:
+        scored.unpersist()
     return losses
 
 
+def _held(blocks: DataFrame) -> DataFrame:
+    """Written, and kept while passes read them again."""
+    return pin(blocks, "boosting-blocks").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _rounds_in_one_task(rows: DataFrame, model: Boosting, rounds: int, depth: int, features: int) -> list[float]:
     """The same for at most ONE_TASK_ROWS rows, in one task instead of many small jobs."""
     find_package(rows.sparkSession)
 
     def grow(group: pa.Table) -> pa.Table:
-        codes, labels = matrix(group.column("x"), "u1"), group.column("label").to_numpy()
+        codes, labels = np.asfortranarray(matrix(group.column("x"), "u1")), group.column("label").to_numpy()
         score, trees, losses = np.full(len(labels), model.base), [], []
         for _ in range(rounds):
             def sums(tree: BoostedTree, level: int) -> tuple[Sums, float]:
@@ -228,14 +269,13 @@ class NewtonBoosting(Estimator):
         return BoostingModel(model, edges, [loss / n for loss in losses])
 
 
-def _with_scores(rows: DataFrame, model: Boosting, since: int) -> DataFrame:
+def _with_scores(blocks: DataFrame, model: Boosting, since: int) -> DataFrame:
+    """The blocks with what the trees from ``since`` on add."""
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                score = batch.column(0).to_numpy() + model.scores(matrix(batch.column(2), "u1"), since)
-                yield pa.RecordBatch.from_arrays([pa.array(score), *batch.columns[1:]], ["score", "label", "x"])
+        for score, labels, codes in _opened(batches):
+            yield _block(len(score), score + model.scores(codes, since), labels.tobytes(), codes.T.tobytes())
 
-    return map_batches(rows, task, "score double, label int, x binary")
+    return map_batches(blocks, task, BLOCKS)
 
 
 class BoostingModel(Model):
@@ -253,7 +293,7 @@ class BoostingModel(Model):
         @F.pandas_udf("double")
         def share(features: pd.Series) -> pd.Series:
             x = np.stack(features.to_numpy())
-            codes = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)], axis=1)
+            codes = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)]).T
             return pd.Series(1 / (1 + np.exp(-(model.base + model.scores(codes)))))
 
         judged = df.withColumn("_share", share(vector_to_array("features")))

@@ -59,6 +59,22 @@ def test_rounds_equal_numpy(spark, monkeypatch, local_rows):
     assert all(r.prediction == float(r.probability[1] > 0.5) for r in rows)
 
 
+def test_passes_read_blocks_of_rows(spark, monkeypatch):
+    x, y = sample(240, 5)
+    df = as_rows(spark, x, y)
+    edges = forest.bin_edges(df)
+    rows = pin(forest.coded(forest.feature_rows(df, "id"), edges), "test-coded")
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 100)
+    model = boosting.NewtonBoosting(rounds=3).fit(df).model
+    held = boosting._with_scores(boosting._blocks(rows, 0.25), model, 0).toArrow()
+    found = [b for part in held.to_batches() for b in boosting._opened([part])]
+    assert held.num_rows <= 3 and sum(len(s) for s, *_ in found) == 240
+    codes = np.stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)], axis=1)
+    expected = sorted(zip(0.25 + model.scores(codes), y.tolist(), map(tuple, codes.tolist())))
+    got = sorted((s, l, tuple(c)) for some in found for s, l, c in zip(some[0], some[1].tolist(), some[2].tolist()))
+    assert got == expected
+
+
 def test_loss_falls_every_round(spark):
     x, y = sample(400, 5)
     losses = boosting.NewtonBoosting(rounds=30).fit(as_rows(spark, x, y)).losses
